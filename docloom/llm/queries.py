@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm import bpe as _bpe
 from docloom.llm import exact_dedup as _exact
+from docloom.llm import langid as _lang
 from docloom.llm import line_dedup as _line
 from docloom.llm import url_filter as _url
 from docloom.llm.common import table, text_of
@@ -18,16 +20,33 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(text_of(), 256).alias("kept_sha256"))
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _bpe.bpe_digest(table(spark, sf_dir, "documents"), vocabulary())
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = (_lang.bucket("doc_id") == 0).alias("held_out")
+    return _lang.language_id(docs, _lang.fit(docs)).select("doc_id", held_out, "lang_pred", "score", "lang_spans")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _url.url_filter(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op7_exact_dedup, op9_url_filter)}
+    return {f.__name__: f for f in (op3_line_dedup, op5_bpe, op7_exact_dedup, op8_language_id, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
