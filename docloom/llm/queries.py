@@ -9,12 +9,19 @@ from pyspark.sql import functions as F
 
 from docloom.llm import bpe as _bpe
 from docloom.llm import exact_dedup as _exact
+from docloom.llm import html_extract as _html
 from docloom.llm import langid as _lang
 from docloom.llm import line_dedup as _line
+from docloom.llm import pii as _pii
 from docloom.llm import url_filter as _url
 from docloom.llm.common import table, text_of
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _html.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _line.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(text_of(), 256).alias("kept_sha256"))
@@ -31,6 +38,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _pii.find_pii(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -46,7 +58,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op5_bpe, op7_exact_dedup, op8_language_id, op9_url_filter)}
+    return {f.__name__: f for f in (op1_html_extract, op3_line_dedup, op5_bpe, op6_pii, op7_exact_dedup, op8_language_id, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
