@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import ship
+
 WORD_END = "</w>"
 #: White space of the pattern's ``\s``, as the tokenizer's regular expressions read it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -216,7 +218,7 @@ def _shared_spec(docs: DataFrame, path: str):
     spec = read_spec(path)
     if len(spec) > 64 << 20:
         raise ValueError(f"{path}: a model file of {len(spec)} characters is too large to send to all executors")
-    return docs.sparkSession.sparkContext.broadcast(spec)
+    return ship(docs.sparkSession).sparkContext.broadcast(spec)
 
 
 def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:

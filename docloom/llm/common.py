@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import threading
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +47,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return named
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package's source to the executors, once for each context, so that Python functions can import it
+    wherever they run."""
+    sc = spark.sparkContext
+    with _LOCK:
+        if getattr(sc, "_docloom_shipped", False):
+            return spark
+        root = Path(__file__).resolve().parents[2]
+        out = Path(tempfile.mkdtemp(prefix="docloom-source-")) / "docloom_source.zip"
+        with zipfile.ZipFile(out, "w") as z:
+            for f in sorted((root / "docloom").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        sc.addPyFile(str(out))
+        sc._docloom_shipped = True
+    return spark
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder at once and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)

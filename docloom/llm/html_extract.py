@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpoint
+from docloom.llm.common import checkpoint, ship
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*+(?:>|\Z)|<\?[^>]*+(?:>|\Z)"
@@ -367,7 +367,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text
 
     Null or empty html gives an empty text. Pages without a host share the host "".
     """
-    spark = pages.sparkSession
+    spark = ship(pages.sparkSession)
     wrappers = infer_wrappers(pages, url_col, html_col).select("host", "wrapper")
     wrappers = checkpoint(wrappers)
     bytes_ = wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import ship
+
 #: The Unicode ranges of the scripts told apart (first, last code point, name).
 SCRIPTS = (
     (0x0041, 0x024F, "latin"), (0x1E00, 0x1EFF, "latin"), (0x0370, 0x03FF, "greek"), (0x1F00, 0x1FFF, "greek"),
@@ -246,7 +248,7 @@ def language_id(docs: DataFrame, model: LanguageModel, text_col: str = "text", p
 
     Spans are ``array<struct<first int, end int, lang string>>`` in words. Null and letterless texts are ``und``.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.rows, model.matrix, model.candidates, model.langs))
+    shared = ship(docs.sparkSession).sparkContext.broadcast((model.rows, model.matrix, model.candidates, model.langs))
 
     def rebuilt() -> LanguageModel:
         m = LanguageModel.__new__(LanguageModel)

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import ship
+
 KINDS = ("email", "ip", "card", "phone")
 #: The kind that the CRF adds: key material (tokens, passwords, API keys).
 ADDED = "secret"
@@ -224,7 +226,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", model: SkipChain | None =
     """The input with ``n_email, n_ip, n_card, n_phone`` (base spans), ``base_sha256`` and ``spans`` (columns of
     these names are replaced). Positions are code points of the whole text, ends exclusive. Null text has no spans.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model or train())
+    shared = ship(docs.sparkSession).sparkContext.broadcast(model or train())
 
     @F.pandas_udf("struct<n_email:bigint,n_ip:bigint,n_card:bigint,n_phone:bigint,base_sha256:string,spans:string>")
     def find(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
