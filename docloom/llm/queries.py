@@ -12,6 +12,7 @@ from docloom.llm import exact_dedup as _exact
 from docloom.llm import html_extract as _html
 from docloom.llm import langid as _lang
 from docloom.llm import line_dedup as _line
+from docloom.llm import near_dedup as _near
 from docloom.llm import pii as _pii
 from docloom.llm import url_filter as _url
 from docloom.llm.common import table, text_of
@@ -57,8 +58,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _url.url_filter(table(spark, sf_dir, "pages"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near.near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op3_line_dedup, op5_bpe, op6_pii, op7_exact_dedup, op8_language_id, op9_url_filter)}
+    return {f.__name__: f for f in (op1_html_extract, op3_line_dedup, op5_bpe, op6_pii, op7_exact_dedup, op8_language_id, op9_url_filter, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
