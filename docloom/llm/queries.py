@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe as _bpe
+from docloom.llm import decontaminate as _decon
 from docloom.llm import exact_dedup as _exact
 from docloom.llm import html_extract as _html
 from docloom.llm import langid as _lang
+from docloom.llm import license_scan as _license
 from docloom.llm import line_dedup as _line
 from docloom.llm import near_dedup as _near
 from docloom.llm import pii as _pii
@@ -23,11 +25,21 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _decon.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "item_id", F.col("first").alias("first_word"), "similarity")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _line.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(text_of(), 256).alias("kept_sha256"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _license.license_hits(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "license", "template", F.col("first").alias("first_word"), "containment")
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -63,7 +75,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op3_line_dedup, op5_bpe, op6_pii, op7_exact_dedup, op8_language_id, op9_url_filter, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_html_extract, op2_decontaminate, op3_line_dedup, op4_license_scan, op5_bpe, op6_pii, op7_exact_dedup, op8_language_id, op9_url_filter, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
