@@ -247,13 +247,16 @@ def bpe_decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str =
     return docs.withColumn(text_col, decode(F.col(ids_col)))
 
 
-def bpe_digest(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """The input with ``n_tokens, ids_sha256, decoded_sha256``: whole texts are encoded and decoded again, and the
-    ids and the decoded text leave the worker as digests only. Null text counts as empty. Columns of these names
-    are replaced."""
+def bpe_digest(docs: DataFrame, path: str, text_col: str = "text", ids_col: str | None = None) -> DataFrame:
+    """The input with ``n_tokens, ids_sha256, decoded_sha256``, and the ids themselves if ``ids_col`` is named.
+
+    Whole texts are encoded and decoded again; the ids' digest is that of little-endian unsigned 32-bit integers.
+    Null text counts as empty. Columns of these names are replaced.
+    """
     spec = _shared_spec(docs, path)
+    fields = "n_tokens:bigint,ids_sha256:string,decoded_sha256:string" + (",ids:array<int>" if ids_col else "")
 
-    @F.pandas_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+    @F.pandas_udf(f"struct<{fields}>")
     def digest(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(spec.value)
         for s in texts:
@@ -263,11 +266,11 @@ def bpe_digest(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                 decoded = hashlib.sha256()
                 for part in c.decode_parts(ids):
                     decoded.update(part)
-                rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), decoded.hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), decoded.hexdigest(), *([ids.astype(np.int32)] if ids_col else [])))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids_col else [])])
 
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    names = {"n_tokens": "n_tokens", "ids_sha256": "ids_sha256", "decoded_sha256": "decoded_sha256"} | ({ids_col: "ids"} if ids_col else {})
     kept = [c for c in docs.columns if c not in names]
     return docs.select(*[F.col(f"`{c}`") for c in kept], digest(F.col(text_col)).alias("__digest")).select(
-        *[F.col(f"`{c}`") for c in kept], *[F.col(f"__digest.{n}") for n in names]
+        *[F.col(f"`{c}`") for c in kept], *[F.col(f"__digest.{field}").alias(name) for name, field in names.items()]
     )
