@@ -28,7 +28,7 @@ def let(value: Column, body) -> Column:
     A lambda variable holds the evaluated value, so the optimiser cannot
     inline ``value`` into an inner lambda and evaluate it for every element.
     """
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)  # one parameter: a second would be the index
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

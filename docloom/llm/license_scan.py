@@ -108,27 +108,40 @@ def license_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = vocabulary.count()
     bloom = BitFilter(vocabulary.select("h"), total)
 
-    def look(hashes: Column) -> Column:
-        """The shingles of each size, and where a template's shingle may stand."""
+    widest = {r[0]: r[1] for r in known.groupBy("words").agg(F.max(F.ceil(F.col("n") * 1.5))).collect()}
 
-        def found(k: int, s: Column) -> Column:
-            hit = F.transform(s, lambda h, i: F.when(bloom.may_hold(h) if bloom.ok else F.lit(True), F.struct(F.lit(k).alias("words"), h.alias("h"), i.alias("at"))))
-            return F.filter(hit, lambda x: x.isNotNull())
+    def parts(hashes: Column) -> Column:
+        """The stretches of a text, in shingles of each size, where windows with a template's shingle lie: cells of
+        the widest window's size with one more on each side."""
 
-        all_sizes = F.struct(*[shingles_of(hashes, k).alias(f"s{k}") for k in sizes])
-        return let(all_sizes, lambda s: F.struct(s.alias("s"), F.concat(*[found(k, s[f"s{k}"]) for k in sizes]).alias("anchors")))
+        def of_size(k: int, s: Column) -> Column:
+            bits = max(1, (widest[k] - 1).bit_length())
+            hit = F.transform(s, lambda h, i: F.when(bloom.may_hold(h) if bloom.ok else F.lit(True), F.struct(h.alias("h"), i.alias("at"))))
+            cell_of = lambda x: F.shiftright(x["at"], bits)
 
-    base = docs.select(doc_key(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_hash"), F.explode(F.array(let(word_hashes(text_of(text_col)), look))).alias("x"))
-    flagged = checkpoint(base.select("id", "text_hash", "x.s", "x.anchors").where(F.size("anchors") > 0).dropDuplicates(["id", "text_hash"]))
-    near = flagged.select("id", "text_hash", F.inline("anchors"))
-    met = near.join(F.broadcast(vocabulary) if total <= MAX_BROADCAST else vocabulary, ["words", "h"]).groupBy("id", "text_hash", "template", "words", "n").agg(F.collect_set("at").alias("places"))
+            def stretch(anchors: Column, cell: Column) -> Column:
+                start = F.greatest(F.lit(0), F.shiftleft(cell - 1, bits))
+                part = F.slice(s, start + 1, F.shiftleft(cell + 2, bits) - start)
+                return F.struct(F.lit(k).alias("words"), cell.alias("cell"), start.alias("start"), part.alias("part"), F.filter(anchors, lambda x: cell_of(x) == cell).alias("anchors"))
+
+            found = lambda a: F.transform(F.array_distinct(F.transform(a, cell_of)), lambda cell: stretch(a, cell))
+            return let(F.filter(hit, lambda x: x.isNotNull()), found)
+
+        return F.concat(*[let(shingles_of(hashes, k), lambda s, k=k: of_size(k, s)) for k in sizes])
+
+    stretches = checkpoint(
+        docs.select(doc_key(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_hash"), F.explode(let(word_hashes(text_of(text_col)), parts)).alias("x")).select("id", "text_hash", "x.*")
+    )
+    place = ["id", "text_hash", "words", "cell"]
+    near = stretches.select(*place, F.inline("anchors"))
+    met = near.join(F.broadcast(vocabulary) if total <= MAX_BROADCAST else vocabulary, ["words", "h"]).groupBy(*place, "template", "n").agg(F.collect_set("at").alias("places"))
     step = F.greatest(F.lit(1), F.floor(F.col("n") / 4).cast("int"))
     width = F.ceil(F.col("n") * 1.5).cast("int")
     steps = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(F.greatest(F.lit(0), F.ceil((p - width + 1) / step).cast("int")), F.floor(p / step).cast("int")))))
-    source = by_size(lambda k: F.col("s")[f"s{k}"])
+    cut = lambda j: F.struct((j * step).alias("first"), F.slice("part", j * step - F.col("start") + 1, width).alias("window"))
     windows = (
-        met.join(flagged.select("id", "text_hash", "s"), ["id", "text_hash"])
-        .select("id", "text_hash", "template", F.explode(let(source, lambda d: F.transform(steps, lambda j: F.struct((j * step).alias("first"), F.slice(d, j * step + 1, width).alias("window"))))).alias("w"))
+        met.join(stretches.drop("anchors"), place)
+        .select("id", "text_hash", "template", F.explode(F.transform(steps, cut)).alias("w"))
         .select("id", "text_hash", "template", "w.first", "w.window")
         .where(F.size("window") > 0)
     )

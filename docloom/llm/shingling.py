@@ -34,14 +34,15 @@ def long_array(values: list[int]) -> Column:
 
 
 class BitFilter:
-    """A Bloom filter of two bits per hash, built on the cluster and held as a constant of bounded size."""
+    """A Bloom filter of three bits per hash, built on the cluster and held as a constant of bounded size; it takes two
+    in a million other hashes."""
 
     #: Words of the largest filter (8 MiB).
     MAX_WORDS = 1 << 20
 
     def __init__(self, hashes, n: int) -> None:
         """``hashes``: a frame with ``h``; ``n``: its number of rows. ``ok`` is False if the filter would be too large."""
-        bits = 1 << max(12, (128 * max(n, 1) - 1).bit_length())
+        bits = 1 << max(12, (256 * max(n, 1) - 1).bit_length())
         self.ok = bits // 64 <= self.MAX_WORDS
         if not self.ok:
             return
@@ -53,9 +54,9 @@ class BitFilter:
             words[w] = b
         self.words = long_array(words)
 
-    def _places(self, h: Column) -> tuple[Column, Column]:
-        return h.bitwiseAND(F.lit(self.mask)), F.shiftright(h, 30).bitwiseAND(F.lit(self.mask))
+    def _places(self, h: Column) -> tuple[Column, ...]:
+        return tuple(F.shiftright(h, k).bitwiseAND(F.lit(self.mask)) for k in (0, 19, 37))
 
     def may_hold(self, h: Column) -> Column:
-        a, b = (F.getbit(F.get(self.words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in self._places(h))
-        return a & b
+        a, b, c = (F.getbit(F.get(self.words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in self._places(h))
+        return a & b & c
