@@ -309,7 +309,15 @@ def _applied(c: Column, dtype: T.StructType, payload: dict, ddl: Ddl, scope: str
             if not any((x[key] == y[key]) if by_key else deep_equal(x, y) for y in items):
                 items.append(x)
         base = F.coalesce(old, F.array().cast(t))
-        fresh = [F.when(~F.exists(base, lambda e, x=x: of(e, t.elementType, "null").key(key).equals(x[key]) if by_key else of(e, t.elementType, "null").deep_equals(x)), literal([x], t)).otherwise(F.array().cast(t)) for x in items]
+
+        def known(x: Any) -> Column:
+            def same(e: Column) -> Column:
+                v = of(e, t.elementType, "null")
+                return v.key(key).equals(x[key]) if by_key else v.deep_equals(x)
+
+            return F.exists(base, same)
+
+        fresh = [F.when(~known(x), literal([x], t)).otherwise(F.array().cast(t)) for x in items]
         new = F.concat(base, *fresh) if fresh else old
         return _replaced(c, dtype, path, new), false(), F.size(new) != F.size(base) if fresh else false()
     if verb in ("set_property_undefined", "delete_property"):
