@@ -41,6 +41,8 @@ MAIN = frozenset("article main".split())
 #: Longest group that is looked for as a repetition, and most nodes of a wrapper; pages that do not fit into a
 #: full wrapper are read by the same slot rules without it.
 PERIOD, MAX_NODES = 12, 4096
+#: Texts remembered for a place, characters of each, and the pages of a host from which template texts are told.
+FIXED_TEXTS, FIXED_CHARS, LEAST_PAGES = 20, 200, 3
 #: Wrapper tables up to this many bytes are sent to every executor; larger ones are joined to the pages by host.
 MAX_BROADCAST = 32 << 20
 
@@ -143,8 +145,8 @@ class Page:
         self.texts.append((self._block, _html.unescape(raw)))
 
 
-# A node is a symbol, or a tuple of nodes: a repeated group. A wrapper is a list of [node, optional, fixed],
-# where fixed holds the text that all pages have in this place ("" for a slot, None for what is not a text).
+# A node is a symbol, or a tuple of nodes: a repeated group. A wrapper is a list of [node, optional, fixed], where
+# fixed lists the texts that all pages have in this place (a place without one is a slot; None: there is no text).
 
 
 def fold_repeats(symbols: Iterable) -> tuple[list, list[int]]:
@@ -221,9 +223,9 @@ def _align(a: list, b: list) -> list[tuple[int, int]]:
 class Wrapper:
     """A union-free regular expression over tags and texts, with optional and repeated groups and text slots."""
 
-    def __init__(self, items: list | None = None, pages: int = 0) -> None:
+    def __init__(self, items: list | None = None, pages: int = 0, varies: bool = False) -> None:
         self.items: list[list] = items or []
-        self.pages = pages
+        self.pages, self.varies = pages, varies
 
     @staticmethod
     def of(page: Page) -> Wrapper:
@@ -233,7 +235,7 @@ class Wrapper:
         for node, n in zip(*fold_repeats(page.symbols), strict=True):
             inside = [next(texts)[1] for s in page.symbols[flat : flat + n] if s[0] == "#"]
             flat += n
-            items.append([node, False, inside[0].strip()[:200] if isinstance(node, str) and inside else None])
+            items.append([node, False, list(dict.fromkeys(x.strip()[:FIXED_CHARS] for x in inside))[:FIXED_TEXTS] if inside else None])
         return Wrapper(items, 1)
 
     def nodes(self) -> list:
@@ -245,7 +247,7 @@ class Wrapper:
         if new == nodes:
             return self
         at = dict(_align(new, nodes))
-        return Wrapper([[n, self.items[at[k]][1] if k in at else False, self.items[at[k]][2] if k in at else None] for k, n in enumerate(new)], self.pages)
+        return Wrapper([[n, self.items[at[k]][1] if k in at else False, self.items[at[k]][2] if k in at else [] if _has_text(n) else None] for k, n in enumerate(new)], self.pages, self.varies)
 
     def merge(self, other: Wrapper) -> Wrapper:
         """The wrapper of both: what only one has is optional, groups repeat if they do in either, texts that differ are slots."""
@@ -259,23 +261,39 @@ class Wrapper:
             out += [[n, True, f] for n, _, f in a.items[i:x]] + [[n, True, f] for n, _, f in b.items[j:y]]
             if x < len(a.items):
                 (n, o, f), (_, p, g) = a.items[x], b.items[y]
-                out.append([n, o or p, None if f is None else f if f == g else ""])
+                out.append([n, o or p, common(f, g)])
             i, j = x + 1, y + 1
-        if len(out) > MAX_NODES:
-            return Wrapper(self.items, self.pages + other.pages)
-        return Wrapper(out, self.pages + other.pages)
+        pages, varies = self.pages + other.pages, self.varies or other.varies or len(a.items) != len(b.items) or any(f != g for (_, _, f), (_, _, g) in zip(a.items, b.items, strict=True))
+        return Wrapper(self.items if len(out) > MAX_NODES else out, pages, varies)
+
+    def absorb(self, same: Wrapper) -> None:
+        """Merge a page of the very same structure, in place."""
+        self.pages += same.pages
+        for a, b in zip(self.items, same.items, strict=True):
+            if a[2] != b[2]:
+                a[2], self.varies = common(a[2], b[2]), True
 
     def slots(self) -> tuple:
-        """What pages need: the nodes, and for every one whether it is text that never changes (template text)."""
-        return tuple((n, bool(f)) for n, _, f in self.items)
+        """What pages need: the nodes, and for every one its template texts, in places that all pages have. Copies of
+        one page, or few pages, tell nothing about what is template."""
+        known = self.varies and self.pages >= LEAST_PAGES
+        return tuple((n, tuple(f) if f and known and not optional else ()) for n, optional, f in self.items)
 
     def dump(self) -> str:
-        return json.dumps([self.pages, self.items], ensure_ascii=False)
+        return json.dumps([self.pages, self.varies, self.items], ensure_ascii=False)
 
     @staticmethod
     def load(text: str) -> Wrapper:
-        pages, items = json.loads(text)
-        return Wrapper([[_tuples(n), o, f] for n, o, f in items], pages)
+        pages, varies, items = json.loads(text)
+        return Wrapper([[_tuples(n), o, f] for n, o, f in items], pages, varies)
+
+
+def _has_text(n) -> bool:
+    return any(map(_has_text, n)) if isinstance(n, tuple) else n[0] == "#"
+
+
+def common(f: list | None, g: list | None) -> list | None:
+    return None if f is None or g is None else [x for x in f if x in g]
 
 
 def _tuples(n):
@@ -288,12 +306,12 @@ def template_texts(page: Page, slots: tuple | None) -> set[int]:
         return set()
     nodes, extents = fold_repeats(page.symbols)
     wrapper = [s[0] for s in slots]
-    number, at, starts = 0, 0, []
+    number, at, places = 0, 0, []
     for n in extents:
-        starts.append(number)
-        number += sum(s[0] == "#" for s in page.symbols[at : at + n])
+        inside = range(number, number := number + sum(s[0] == "#" for s in page.symbols[at : at + n]))
+        places.append(inside)
         at += n
-    return {starts[j] for i, j in _align(wrapper, nodes) if slots[i][1] and nodes[j][0] == "#"}
+    return {k for i, j in _align(wrapper, nodes) if slots[i][1] for k in places[j] if page.texts[k][1].strip()[:FIXED_CHARS] in slots[i][1]}
 
 
 def main_text(page: Page, slots: tuple | None = None) -> str:
@@ -335,11 +353,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
                 key = tuple(one.nodes())
                 same = met.setdefault(host, {})
                 if key in same:  # only the texts can differ
-                    known = same[key]
-                    known.pages += 1
-                    for a, b in zip(known.items, one.items, strict=True):
-                        if a[2] is not None and a[2] != b[2]:
-                            a[2] = ""
+                    same[key].absorb(one)
                 elif len(same) < 256:
                     same[key] = one
                 else:  # bounds what a task holds of a host

@@ -63,7 +63,7 @@ class LanguageModel:
         floor = [np.log(SMOOTH / (totals[size] + SMOOTH * seen[size])) for size in GRAMS]
         rows = [np.log((v + SMOOTH) / (totals[len(g)] + SMOOTH * seen[len(g)])) for g, v in table.items()]
         self.rows = {g: i for i, g in enumerate(table, len(GRAMS))}
-        self.matrix = np.array(floor + rows).reshape(-1, n)
+        self.matrix = np.array(floor + rows).reshape(len(floor) + len(rows), n)
         #: A language is a candidate for a script if at least one letter in a hundred of it is of that script.
         self.candidates = {s: v >= 0.01 * np.maximum(letters, 1) for s, v in scripts.items()}
 

@@ -76,10 +76,12 @@ _KEYLIKE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+
 _HEX = re.compile(r"[0-9a-fA-F]+")
 #: Words that announce key material.
 TRIGGERS = frozenset("token secret password passwd pwd passphrase apikey api_key key access_key secret_key private_key auth bearer credential credentials".split())
+#: Words that announce a fingerprint, which is public.
+CHECKSUMS = frozenset("commit sha sha1 sha256 md5 hash checksum digest revision rev etag uuid".split())
 _TRIGGER = re.compile(rf"(?i)\b(?:{'|'.join(sorted(TRIGGERS, key=len, reverse=True))})\b\W{{0,4}}[=:]")
 WINDOW = 2
 SWEEPS = 20
-FEATURES = ("bias", "keylike", "hex", "long", "very_long", "quoted", "all_digits", "no_digit", "assigned", "trigger_near", "trigger_assigned")
+FEATURES = ("bias", "keylike", "hex", "long", "very_long", "quoted", "all_digits", "no_digit", "assigned", "trigger_near", "trigger_assigned", "checksum")
 
 
 def _core(token: str) -> str:
@@ -94,7 +96,7 @@ def _features(tokens: list[str], i: int) -> np.ndarray:
     assigned = bool(re.search(r"[=:]\W*$", before)) or bool(re.match(r"\w+[=:]", token))
     return np.array([
         1, 0 < digits < len(core) and len(core) >= 12, bool(_HEX.fullmatch(core)) and 0 < digits < len(core), len(core) >= 16, len(core) >= 32,
-        '"' in token or "'" in token, digits == len(core) > 0, digits == 0, assigned, near, near and assigned and len(core) >= 4,
+        '"' in token or "'" in token, digits == len(core) > 0, digits == 0, assigned, near, near and assigned and len(core) >= 4, bool(CHECKSUMS & set(re.findall(r"[a-z0-9]+", before.lower()))),
     ], dtype=float)
 
 
@@ -183,8 +185,11 @@ def _examples(n: int, seed: int) -> Iterator[tuple[list[str], list[int]]]:
                 tokens.append(rng.choice(['"{}"', "{}", "({})"]).format(rng.choice(kept)))
                 labels.append(1)
             elif kind < 0.7:
-                tokens += ["commit", secret()]
+                tokens += [rng.choice(sorted(CHECKSUMS)) + rng.choice(["", "", ":"]), secret()]
                 labels += [0, 0]
+            elif kind < 0.73:
+                tokens.append(secret())
+                labels.append(0)
             else:
                 tokens.append(plain())
                 labels.append(0)
