@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import threading
 import zipfile
@@ -65,9 +67,30 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder at once and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared checkpoint folder at once and go on from there.
+
+    Spark deletes the shuffle files behind it only when the driver collects its garbage, so that is asked for here:
+    a job of many steps then holds the files of one step.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """While this holds, jobs that run hand at most ``rows`` rows at once to a Python worker (bounds its memory)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def doc_key(doc_id: str = "doc_id") -> Column:

@@ -12,16 +12,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import MIN_LONG, checkpoint, doc_key, ship
+from docloom.llm.common import MIN_LONG, checkpoint, doc_key, ship, small_batches
 from docloom.llm.graph import components
 
 #: Words of a shingle (the k-mers here), and the least similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
-#: Sketches of a text. Two texts of similarity s agree in one with a probability of about s ** size; they are
-#: candidates if they agree in at least two of them: all but 1 in 10,000 pairs of similarity 0.8, nearly all above.
-SKETCHES, AGREE = 64, 2
+#: Sketches of a text. Two texts of similarity s agree in one with a probability of about s ** size: of pairs of
+#: similarity 0.8, 8 in a million agree in none.
+SKETCHES = 64
+#: The least minimum of each sketch agrees with probability s, so 51 of 64 are expected at 0.8, with a deviation of 3.2.
+#: Pairs with fewer than 39 (1 in 16,000 of similarity 0.8) are not aligned.
+AGREE = 39
 #: (below so many shingles, minima per sketch): short texts have few shingles to draw from.
 SIZES = ((16, 2), (48, 4), (1 << 62, 8))
+#: Texts of candidates up to this many characters in all are sent to every executor; more are joined to the pairs.
+MAX_BROADCAST = 16 << 20
 _WORD = re.compile(r"\w+")
 _RNG = np.random.default_rng(20240229)
 _C = _RNG.integers(1 << 60, 1 << 63, size=WORDS + 16, dtype=np.uint64) | np.uint64(1)
@@ -31,7 +36,7 @@ _MUL = _RNG.integers(1 << 28, 1 << 32, size=(SKETCHES, 1), dtype=np.uint32) | np
 
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -75,8 +80,9 @@ def _size(n: float) -> int:
     return next(size for below, size in SIZES if n < below)
 
 
-def sketch(h: np.ndarray, size: int) -> np.ndarray:
-    """Keys of all sketches: for each, the ``size`` shingles least under its hash, in text order."""
+def sketch(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all sketches: for each, the ``size`` shingles least under its hash, in text order; and a byte of the
+    least one of each."""
     n, l = len(h), min(size, len(h))  # noqa: E741
     low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     limit = min(2.0**32, 2.0**32 * 4 * size / n)
@@ -94,11 +100,12 @@ def sketch(h: np.ndarray, size: int) -> np.ndarray:
         limit *= 4
     starts = np.cumsum(counts) - counts
     places = np.sort((packed[starts[:, None] + np.arange(l)] & np.uint64((1 << 28) - 1)).astype(np.int64), axis=1)
+    least = _mix(h[(packed[starts] & np.uint64((1 << 28) - 1)).astype(np.int64)]).astype(np.uint8)
     picked = h[places]
     keys = np.full(SKETCHES, size, dtype=np.uint64)
     for i in range(l):
         keys = _mix(keys ^ picked[:, i]) * _C[WORDS + 2]
-    return _mix(keys + np.arange(SKETCHES, dtype=np.uint64) * _C[WORDS + 3])
+    return _mix(keys + np.arange(SKETCHES, dtype=np.uint64) * _C[WORDS + 3]), least
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
@@ -131,33 +138,36 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return common / (n - common)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, h1, h2, keys, sign``: per text and size of sketch, its keys and their lowest bytes (8 longs)."""
-    ship(docs.sparkSession)
+def _sketch_rows(ids, texts) -> Iterator[tuple]:
+    for i, text in zip(ids, texts, strict=True):
+        words = words_of(text)
+        if not words:
+            continue
+        whole = xxhash.xxh3_128_intdigest(" ".join(words))
+        a, b = (int(np.uint64(x).astype(np.int64)) for x in (whole >> 64, whole & (1 << 64) - 1))
+        h = shingles(words)
+        # A partner has at least 0.8 and at most 1.25 times as many shingles.
+        for size in sorted({_size(len(h)), _size(np.floor(SIMILARITY * len(h))), _size(np.ceil(len(h) / SIMILARITY))}):
+            keys, least = sketch(h, size)
+            yield i, a, b, size, keys.view(np.int64), least.view(np.int64)
+
+
+def _sketch_batches(batches: Iterator[pd.DataFrame], step: int = 1000) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for k in range(0, len(batch), step):
+            part = batch.iloc[k : k + step]
+            yield pd.DataFrame(list(_sketch_rows(part["id"], part["text"])), columns=["id", "h1", "h2", "size", "keys", "sign"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i, text in zip(batch["id"], batch["text"], strict=True):
-                words = words_of(text)
-                if not words:
-                    continue
-                whole = xxhash.xxh3_128_intdigest(" ".join(words))
-                a, b = (int(np.uint64(x).astype(np.int64)) for x in (whole >> 64, whole & (1 << 64) - 1))
-                h = shingles(words)
-                # A partner has at least 0.8 and at most 1.25 times as many shingles.
-                for size in sorted({_size(len(h)), _size(np.floor(SIMILARITY * len(h))), _size(np.ceil(len(h) / SIMILARITY))}):
-                    keys = sketch(h, size)
-                    sign = keys.astype(np.uint8).view(np.int64)
-                    rows.append((i, a, b, size, keys.view(np.int64), sign))
-            yield pd.DataFrame(rows, columns=["id", "h1", "h2", "size", "keys", "sign"])
 
+def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, h1, h2, size, keys, sign``: per text and size of sketch, its keys, and the bytes of the least minima (8 longs)."""
+    ship(docs.sparkSession)
     base = docs.select(doc_key(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    return base.mapInPandas(run, "id bigint, h1 bigint, h2 bigint, size int, keys array<bigint>, sign array<bigint>")
+    return base.mapInPandas(_sketch_batches, "id bigint, h1 bigint, h2 bigint, size int, keys array<bigint>, sign array<bigint>")
 
 
 def _agreement(a: Column, b: Column) -> Column:
-    """In how many bytes the two signs agree (an agreement of sketches is one of bytes)."""
+    """In how many bytes the two signs agree (an agreement of minima is one of bytes)."""
     ones = F.lit(0x0101010101010101)
 
     def differ(i: int) -> Column:
@@ -172,6 +182,20 @@ def _agreement(a: Column, b: Column) -> Column:
     return F.lit(SKETCHES) - total
 
 
+def _shingle_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        hashes = [shingles(words_of(t)).view(np.int64) for t in batch["text"]]
+        yield pd.DataFrame({"id": batch["id"], "n": [len(h) for h in hashes], "hashes": hashes})
+
+
+def _shared_counts(texts: DataFrame) -> DataFrame:
+    """``id, n, shared``: the shingles of each text, and how many of them another of these texts holds too."""
+    counted = texts.select("id", "text").mapInPandas(_shingle_batches, "id bigint, n int, hashes array<bigint>")
+    alone = counted.select("id", F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min("id").alias("id")).where("texts = 1")
+    single = alone.groupBy("id").agg(F.count(F.lit(1)).alias("single"))
+    return counted.select("id", "n").join(single, "id", "left").select("id", "n", (F.col("n") - F.coalesce("single", F.lit(0))).alias("shared"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``u, v`` whose alignment reaches the similarity."""
 
@@ -188,7 +212,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(similarity(shingles(words_of(a)), x) >= SIMILARITY - 1e-9)
             yield batch.loc[keep, ["u", "v"]]
 
-    joined = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
+    small = (texts.agg(F.sum(F.length("text"))).first()[0] or 0) <= MAX_BROADCAST
+    side = F.broadcast(texts) if small else texts
+    joined = pairs.join(side.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u").join(side.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
     return joined.select("u", "v", "text_u", "text_v").mapInPandas(run, "u bigint, v bigint").distinct()
 
 
@@ -198,8 +224,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     1. Texts of the same words are one node, the least id's.
     2. Nodes that share a sketch meet in its bucket. In each bucket everything is first compared with the bucket's
        hub, the member that meets most others, which joins a group of any size with as many pairs as members.
-    3. Members that this leaves outside their hub's class are compared with all members of other classes that
-       they agree with in at least two sketches, so no candidate pair between classes stays untested.
+    3. Members that this leaves outside their hub's class are compared with all members of other classes in
+       their buckets, so no candidate pair between classes stays untested. Two texts have no more shingles in common
+       than either shares with any other text in play; where that bound is too low, the pair cannot be similar.
+    Before texts are fetched for alignment, pairs whose least minima agree too rarely for the similarity are left out.
     """
     found = checkpoint(sketches(docs, id_col, text_col))
     words = found.groupBy("h1", "h2").agg(F.min("id").alias("node"))
@@ -223,12 +251,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = rows.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = placed.join(hubs.select("key", "hub"), "key").join(first.select(F.col("id").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
     placed = checkpoint(placed.select("key", "id", "sign", "component", (F.col("component") != F.coalesce("hub_component", "hub")).alias("outside"), (F.col("id") == F.col("hub")).alias("is_hub")))
-    left = placed.where("outside").select("key", F.col("id").alias("u"), F.col("sign").alias("sign_u"), F.col("component").alias("cu"))
-    right = placed.where("NOT is_hub").select("key", F.col("id").alias("v"), F.col("sign").alias("sign_v"), F.col("component").alias("cv"), F.col("outside").alias("ov"))
-    fit = (F.col("cu") != F.col("cv")) & (~F.col("ov") | (F.col("u") < F.col("v"))) & (_agreement(F.col("sign_u"), F.col("sign_v")) >= AGREE)
-    rest = left.join(right, (left["key"] == right["key"]) & fit).select("u", "v").distinct()
+    placed = placed.join(placed.where("outside").select("key").distinct(), "key", "left_semi")
+    bounds = checkpoint(_shared_counts(texts.join(placed.select("id").distinct(), "id", "left_semi")))
+    own = placed.groupBy("id").agg(F.collect_set("key").alias("keys"))  # at most two sizes of sketch
+    placed = placed.join(bounds, "id").join(own, "id")
+    left = placed.where("outside").select("key", F.col("id").alias("u"), F.col("sign").alias("sign_u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("shared").alias("su"), F.col("keys").alias("ku"))
+    right = placed.where("NOT is_hub").select("key", F.col("id").alias("v"), F.col("sign").alias("sign_v"), F.col("component").alias("cv"), F.col("outside").alias("ov"), F.col("n").alias("nv"), F.col("shared").alias("sv"), F.col("keys").alias("kv"))
+    possible = F.least("su", "sv") >= SIMILARITY / (1 + SIMILARITY) * (F.col("nu") + F.col("nv")) - 1e-6
+    fit = (F.col("cu") != F.col("cv")) & (~F.col("ov") | (F.col("u") < F.col("v"))) & possible & (_agreement(F.col("sign_u"), F.col("sign_v")) >= AGREE)
+    once = left["key"] == F.array_min(F.array_intersect("ku", "kv"))  # a pair that shares buckets is met in one of them
+    rest = left.join(right, (left["key"] == right["key"]) & fit & once).select("u", "v").distinct()
     more = _verified(checkpoint(rest.join(to_hub, ["u", "v"], "left_anti")), texts)
-    final = components(links.unionByName(more))
+    final = checkpoint(components(links.unionByName(more)))
     out = members.join(final.select(F.col("id").alias("node"), "component"), "node", "left")
     return out.groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("class_id"))
 
@@ -242,7 +276,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     one id are one document.
     """
     names = [c for c in docs.columns if c not in ("class_id", "class_size", "kept")]
-    classes = near_classes(docs, id_col, text_col)
+    with small_batches(docs.sparkSession):
+        classes = near_classes(docs, id_col, text_col)
     sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), doc_key(id_col).alias("id"))
     joined = row.join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id")).join(sizes, "class_id", "left")
