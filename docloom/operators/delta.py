@@ -33,6 +33,15 @@ class Delta:
         return [x for x in (self.insert, self.update, self.upsert) if x is not None]
 
 
+def is_pure(x: object) -> bool:
+    return isinstance(x, Delta) and x.pure and x.created_at is not None
+
+
+def is_applicable(x: object, pk: str) -> bool:
+    """Whether ``x`` is a change set whose parts all hold the key."""
+    return isinstance(x, Delta) and all(pk in p.columns for p in (*x.modified(), *([x.remove_keys] if x.remove_keys is not None else [])))
+
+
 def _row(df: DataFrame, name: str = "row") -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
 

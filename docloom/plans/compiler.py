@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -10,8 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import types as T
 
 from docloom.functions.paths import parse_path
+from docloom.functions.schema import normalizing_paths, shape_ambiguous_paths
 from docloom.plans.evaluate import matches_missing
-from docloom.plans.predicate import LOGIC, Pred, check_filter, element_scalar, negated, parse_condition, split_negations, translate_regex
+from docloom.plans.predicate import LOGIC, FilterError, Pred, check_filter, element_scalar, negated, parse_condition, split_negations, translate_regex
 from docloom.plans.values import Missing, Root, Typed, Value, Variant, false, true
 
 #: Arrays directly inside arrays that a path crosses at one place of a Variant.
@@ -42,6 +44,39 @@ def compile_filter(f: dict, schema: T.StructType, doc: str | None = None, nulls_
     return _filter(f, Root(schema, doc, nulls_are))
 
 
+@dataclass(frozen=True)
+class CompileError:
+    """Why a filter was not compiled: ``kind`` is filter, schema_ambiguous or schema_normalizes."""
+
+    kind: str
+    message: str
+    path: str = ""
+
+
+def try_compile(f: dict, schema: T.StructType, doc: str | None = None, nulls_are: str = "missing", conform: bool = False) -> tuple[Column | None, list[CompileError]]:
+    """The column, or all reasons against it. With ``conform``, filters on paths whose declared shape is ambiguous or
+    normalised are refused, as engines that only know the schema refuse them."""
+    try:
+        check_filter(f)
+    except FilterError as e:
+        return None, [CompileError("filter", str(e))]
+    if conform:
+        used = set(paths_of(f))
+        bad = [CompileError("schema_ambiguous", "array and other shapes", p) for p in shape_ambiguous_paths(schema) if p in used]
+        bad += [CompileError("schema_normalizes", "values change on the way in", p) for p in normalizing_paths(schema) if p in used]
+        if bad:
+            return None, bad
+    return compile_filter(f, schema, doc, nulls_are), []
+
+
+def paths_of(f: dict) -> list[str]:
+    """Every path that a filter names at its own level."""
+    out: list[str] = []
+    for key, c in f.items():
+        out += [p for sub in c for p in paths_of(sub)] if key in LOGIC else [key]
+    return out
+
+
 def _filter(f: dict, v: Value) -> Column:
     parts = []
     for key, c in f.items():

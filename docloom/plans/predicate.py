@@ -156,6 +156,27 @@ def is_filter(f: Any) -> bool:
     return True
 
 
+def is_logic_filter(f: Any) -> bool:
+    """A filter with ``$and``, ``$or`` or ``$nor`` at its top."""
+    return isinstance(f, dict) and any(isinstance(f.get(k), list) for k in LOGIC)
+
+
+def is_partial_filter(f: Any) -> bool:
+    """A filter of paths only."""
+    return is_filter(f) and not is_logic_filter(f)
+
+
+def is_filter_list(x: Any) -> bool:
+    return isinstance(x, list) and all(map(is_filter, x))
+
+
+def check_strict(f: Any) -> None:
+    """A filter of paths only, all the way down."""
+    check_filter(f)
+    if is_logic_filter(f):
+        raise FilterError("logic operators are not allowed here")
+
+
 def translate_regex(pattern: str, options: str = "") -> str:
     """A pattern of the language as a Java one. ``$`` without ``m`` is the very end; ``i`` knows all letters."""
     if not set(options) <= set("imsguyvd") or len(set(options)) != len(options):
