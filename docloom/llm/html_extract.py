@@ -24,7 +24,7 @@ _WORDS = re.compile(r"[a-z0-9]+")
 #: Element names. RAW elements hold text that is not markup.
 RAW = frozenset("script style textarea xmp iframe noembed noframes title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-OUT = frozenset("head nav footer aside form script style textarea xmp iframe noembed noframes title noscript template select option button svg math object audio video canvas dialog menu".split())
+OUT = frozenset("head nav footer aside form script style textarea xmp iframe noembed noframes title noscript template select option button svg object audio video canvas dialog menu".split())
 BLOCK = frozenset(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul aside caption".split()
@@ -38,6 +38,7 @@ NOISE = frozenset(
     "gdpr popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended widget toolbar pagination pager skip search complementary contentinfo".split()
 )
 MAIN = frozenset("article main".split())
+ELSEWHERE = frozenset("has with no without is not".split())
 #: Longest group that is looked for as a repetition, and most nodes of a wrapper; pages that do not fit into a
 #: full wrapper are read by the same slot rules without it.
 PERIOD, MAX_NODES = 12, 4096
@@ -47,14 +48,20 @@ FIXED_TEXTS, FIXED_CHARS, LEAST_PAGES = 20, 200, 3
 MAX_BROADCAST = 32 << 20
 
 
-def _noise(attrs: str) -> tuple[bool, bool]:
-    """Whether class, id or role mark an element as noise, or as the main content."""
+def _noise(name: str, attrs: str, zone: str) -> tuple[bool, bool]:
+    """Whether class, id or role mark an element as noise, or as the main content.
+
+    A name like ``has-sidebar`` tells of something elsewhere. An article is noise only by a whole name (``comment``,
+    not ``comments-open``), and a header inside it holds its title.
+    """
     bad = main = False
     for m in _ATTR.finditer(attrs):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        words = _WORDS.findall(value)
-        bad |= any(w in NOISE for w in words)
-        main |= m[1].lower() == "role" and "main" in words
+        for token in (m[2] or m[3] or m[4] or "").lower().split():
+            words = _WORDS.findall(token)
+            main |= m[1].lower() == "role" and token == "main"
+            if words and words[0] not in ELSEWHERE:
+                marks = NOISE.intersection([token] if name in MAIN else words)
+                bad |= bool(marks - {"header"} if zone == "a" else marks)
     return bad, main
 
 
@@ -102,7 +109,7 @@ class Page:
         if name in SAME:
             self._implied(name if name not in ("dt", "dd", "td", "th") else {"dt": "dt dd", "dd": "dt dd", "td": "td th", "th": "td th"}[name], stack, frozenset(SAME[name].split()))
         zone = stack[-1][1] if stack else "o"
-        bad, main = _noise(attrs)
+        bad, main = _noise(name, attrs, zone)
         if zone != "n" and name not in ("html", "body"):
             if name in OUT or bad or (name == "header" and zone != "a"):
                 zone = "n"

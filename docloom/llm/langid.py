@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -243,6 +244,19 @@ class Labeller:
         return out
 
 
+_LABELLERS: dict[str, Labeller] = {}
+
+
+def _labeller(key: str, shared) -> Labeller:
+    """One labeller for each model and worker process: the scores of words outlive a task."""
+    if key not in _LABELLERS:
+        m = LanguageModel.__new__(LanguageModel)
+        m.rows, m.matrix, m.candidates, m.langs = shared.value
+        _LABELLERS.clear()
+        _LABELLERS[key] = Labeller(m)
+    return _LABELLERS[key]
+
+
 def language_id(docs: DataFrame, model: LanguageModel, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score", spans_col: str = "lang_spans") -> DataFrame:
     """The input with language, score and spans of every whole text (columns of these names are replaced).
 
@@ -250,14 +264,11 @@ def language_id(docs: DataFrame, model: LanguageModel, text_col: str = "text", p
     """
     shared = ship(docs.sparkSession).sparkContext.broadcast((model.rows, model.matrix, model.candidates, model.langs))
 
-    def rebuilt() -> LanguageModel:
-        m = LanguageModel.__new__(LanguageModel)
-        m.rows, m.matrix, m.candidates, m.langs = shared.value
-        return m
+    key = uuid.uuid4().hex
 
     @F.pandas_udf("struct<lang:string,score:double,spans:array<struct<first:int,end:int,lang:string>>>")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        labeller = Labeller(rebuilt())
+        labeller = _labeller(key, shared)
         for s in texts:
             values = s.tolist()
             rows = []

@@ -247,6 +247,13 @@ def test_html_extract(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_zones():
+    read = lambda h: html_extract.main_text(html_extract.Page(h))
+    assert read('<body class="sidebar"><div class="has-sidebar"><article class="post comments-open"><div class="entry-header">T</div><p>x<div class="ad-box">y</div></article></div>') == "T\n\nx"
+    assert read('<main><p>a</p><ul class="comment-list"><li><article>c</article></li></ul></main><article class="comment">d</article>') == "a"
+    assert read('<div role="main">a<form>f</form></div><div>b</div>') == "a" and read("<p>a<p>b<td>c") == "a\n\nb\n\nc"
+
+
 def test_wrappers_are_joined_by_host_beyond_the_bound(spark, monkeypatch):
     rows = [(i, f"http://h{i % 2}.x/", f"<div>same</div><div>own {i}</div>") for i in range(6)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
