@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 SPACES = regex.compile(f"[{SPACE}]+")
 #: A chunk's result is kept only up to this length, and only so many of them (bounds a worker's memory).
-CACHE_CHARS, CACHE_SIZE = 48, 200_000
+CACHE_CHARS, CACHE_SIZE = 48, 150_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -74,6 +75,8 @@ class BpeCodec:
             if made not in self.split:
                 self.split[made], self.rank[made] = (i, j), r
         self._fits: dict[tuple[int, int], bool] = {}
+        self._words: dict[str, bytes] = {}
+        self._chunks = _ChunkCache(self)
         # A token that its own merges would not make can never come out; it is left out of the automaton.
         usable = {i for i in of.values() if i not in self.split}
         for made in sorted(self.split, key=self.rank.__getitem__):
@@ -152,23 +155,36 @@ class BpeCodec:
                 at -= lengths[token]
         return out
 
-    def encode_chunk(self, chunk: str) -> list[int]:
+    def word_ids(self, word: str) -> bytes:
+        """Ids of one word of the pattern, as little-endian unsigned 32-bit integers."""
+        ids = self._words.get(word)
+        if ids is None:
+            ids = struct.pack(f"<{len(out)}I", *out) if len(out := self.encode_word(word.encode())) else b""
+            if len(word) <= CACHE_CHARS:
+                if len(self._words) >= CACHE_SIZE:
+                    self._words.clear()
+                self._words[word] = ids
+        return ids
+
+    def encode_chunk(self, chunk: str) -> bytes:
         """Ids of a piece of text; pieces may be cut at white space."""
-        out: list[int] = []
-        for part in self.specials.split(chunk) if self.specials else [chunk]:
-            if part in self.added:
-                out.append(self.added[part])
-                continue
+        if self.specials and "<" in chunk:
+            out = []
+            for part in self.specials.split(chunk):
+                out.append(struct.pack("<I", self.added[part]) if part in self.added else self._encode_plain(part))
+            return b"".join(out)
+        return self._encode_plain(chunk)
+
+    def _encode_plain(self, part: str) -> bytes:
+        if not part.isascii():
             part = unicodedata.normalize("NFC", part)
-            part = "".join(c.lower() for c in part) if "Σ" in part else part.lower()  # no final sigma
-            for word in self.words.findall(part):
-                out += self.encode_word(word.encode())
-        return out
+            if "Σ" in part:  # no final sigma
+                part = "".join(c.lower() for c in part)
+        return b"".join(map(self.word_ids, self.words.findall(part.lower())))
 
     def encode(self, text: str) -> np.ndarray:
         chunks = SPACES.split(text) if SEPARATORS.search(text) else text.split()
-        cache = self.__dict__.setdefault("_cache", _ChunkCache(self))
-        return np.frombuffer(b"".join(map(cache.__getitem__, chunks)), dtype="<u4")
+        return np.frombuffer(b"".join(map(self._chunks.__getitem__, chunks)), dtype="<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(self.decode_parts(ids)).decode()
@@ -188,7 +204,7 @@ class _ChunkCache(dict):
         self.codec = codec
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.codec.encode_chunk(chunk), dtype="<u4").tobytes()
+        ids = self.codec.encode_chunk(chunk)
         if len(chunk) <= CACHE_CHARS:
             if len(self) >= CACHE_SIZE:
                 self.clear()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import gc
 import tempfile
 import threading
@@ -49,10 +48,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return named
 
 
+#: Rows that a Python worker gets at once where the session has Spark's default; whole texts make wide rows.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package's source to the executors, once for each context, so that Python functions can import it
-    wherever they run."""
+    """Prepare for Python functions: send this package's source to the executors, once for each context, so that they can
+    import it wherever they run; and lower the session's Arrow batches from the default, which bounds a worker's memory."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     with _LOCK:
         if getattr(sc, "_docloom_shipped", False):
             return spark
@@ -81,18 +87,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """While this holds, jobs that run hand at most ``rows`` rows at once to a Python worker (bounds its memory)."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def doc_key(doc_id: str = "doc_id") -> Column:
     """A null document id counts as the smallest one."""
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(MIN_LONG))
