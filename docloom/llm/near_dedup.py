@@ -248,10 +248,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = checkpoint(texts.dropDuplicates(["id"]))
     links = checkpoint(_verified(to_hub, texts))
     first = components(links)
-    placed = rows.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = placed.join(hubs.select("key", "hub"), "key").join(first.select(F.col("id").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
-    placed = checkpoint(placed.select("key", "id", "sign", "component", (F.col("component") != F.coalesce("hub_component", "hub")).alias("outside"), (F.col("id") == F.col("hub")).alias("is_hub")))
-    placed = placed.join(placed.where("outside").select("key").distinct(), "key", "left_semi")
+    classed = rows.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = classed.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed"))
+    of_key = hubs.select("key", "hub").join(mixed, "key").join(first.select(F.col("id").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
+    placed = classed.join(of_key, "key")
+    placed = checkpoint(placed.select("key", "id", "sign", "component", "mixed", (F.col("component") != F.coalesce("hub_component", "hub")).alias("outside"), (F.col("id") == F.col("hub")).alias("is_hub")))
+    placed = placed.where("mixed")  # buckets of one class are done
     bounds = checkpoint(_shared_counts(texts.join(placed.select("id").distinct(), "id", "left_semi")))
     own = placed.groupBy("id").agg(F.collect_set("key").alias("keys"))  # at most two sizes of sketch
     placed = placed.join(bounds, "id").join(own, "id")
