@@ -43,7 +43,11 @@ def bucket(id_col: str) -> Column:
 
 
 class LanguageModel:
-    """Naive Bayes over the 1- to 3-grams of a word with its ends marked; scores are log-probabilities per language."""
+    """Naive Bayes over the 1- to 3-grams of a word with its ends marked; scores are log-probabilities per language.
+
+    Letters are small numbers (0 marks a word's end; letters that were never seen are one number for each script), so the
+    grams of many words at once are whole-number keys, looked up in one sorted array.
+    """
 
     def __init__(self, counts: dict[tuple[str, str], int]) -> None:
         self.langs = sorted({lang for lang, _ in counts})
@@ -60,44 +64,72 @@ class LanguageModel:
                 letters[at[lang]] += k
                 scripts[script_of(gram)][at[lang]] += k
         seen = {size: sum(len(g) == size for g in table) + 1 for size in GRAMS}
-        #: Row ``size - 1`` of the matrix is for grams of that size that were never seen.
-        floor = [np.log(SMOOTH / (totals[size] + SMOOTH * seen[size])) for size in GRAMS]
-        rows = [np.log((v + SMOOTH) / (totals[len(g)] + SMOOTH * seen[len(g)])) for g, v in table.items()]
-        self.rows = {g: i for i, g in enumerate(table, len(GRAMS))}
-        self.matrix = np.array(floor + rows).reshape(len(floor) + len(rows), n)
+        known = sorted({c for g in table for c in g} - {"^"})
+        names = sorted({name for _, _, name in SCRIPTS} | {"other"})
+        self.letter = {"^": 0} | {c: i for i, c in enumerate(known, 1)}
+        self.unseen = {name: len(known) + 1 + i for i, name in enumerate(names)}
+        self.base = len(known) + 1 + len(names)
         #: A language is a candidate for a script if at least one letter in a hundred of it is of that script.
-        self.candidates = {s: v >= 0.01 * np.maximum(letters, 1) for s, v in scripts.items()}
-
-    def _allowed(self, word: str) -> np.ndarray:
-        out = np.zeros(len(self.langs), dtype=bool)
-        for s in {"latin"} if word.isascii() else set(map(script_of, word)):
-            out |= self.candidates.get(s, False)
+        candidates = {name: scripts[name] >= 0.01 * np.maximum(letters, 1) if name in scripts else np.zeros(n, dtype=bool) for name in names}
+        self.allowed = np.array([np.zeros(n, dtype=bool), *(candidates[script_of(c)] for c in known), *(candidates[name] for name in names)]).reshape(self.base, n)
+        self.keys, self.rows = {}, {}
+        for size in GRAMS:
+            grams = sorted((self._key(g), g) for g in table if len(g) == size)
+            self.keys[size] = np.array([k for k, _ in grams], dtype=np.int64)
+            floor = np.log(SMOOTH / (totals[size] + SMOOTH * seen[size]))
+            #: The last row is for grams that were never seen.
+            self.rows[size] = np.array([*(np.log((table[g] + SMOOTH) / (totals[size] + SMOOTH * seen[size])) for _, g in grams), floor]).reshape(len(grams) + 1, n)
+
+    def _key(self, gram: str) -> int:
+        out = 0
+        for c in gram:
+            out = out * self.base + self.letter[c]
         return out
 
+    def _number(self, c: str) -> int:
+        i = self.letter.get(c)
+        return self.unseen[script_of(c)] if i is None else i
+
+    def _scores(self, size: int, keys: np.ndarray) -> np.ndarray:
+        known = self.keys[size]
+        if not len(known):
+            return self.rows[size][np.zeros(len(keys), dtype=np.int64)]
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return self.rows[size][np.where(known[at] == keys, at, len(known))]
+
     def score(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Letters of each chunk, and its score for each language (zeros: it says nothing)."""
-        n, get = len(self.langs), self.rows.get
+        n = len(self.langs)
         letters = np.zeros(len(chunks), dtype=np.int64)
         out = np.zeros((len(chunks), n))
-        ids: list[int] = []
-        starts, owner, allowed = [], [], []
+        words, owner = [], []
         for k, chunk in enumerate(chunks):
-            for word in LETTERS.findall(chunk.lower()):
-                letters[k] += len(word)
-                mask = self._allowed(word)
-                if mask.any():
-                    starts.append(len(ids))
-                    owner.append(k)
-                    allowed.append(mask)
-                    marked = f"^{word}^"
-                    ids += [get(g, 0) for g in word]
-                    ids += [get(a + b, 1) for a, b in zip(marked, marked[1:])]  # noqa: B905
-                    ids += [get(marked[i : i + 3], 2) for i in range(len(word))]
-        if starts:
-            own = np.add.reduceat(self.matrix[ids], starts, axis=0)
-            own -= own.max(axis=1, keepdims=True)
-            own = np.where(np.array(allowed), own, own.min(axis=1, keepdims=True) - 20.0)
-            np.add.at(out, owner, own)
+            found = LETTERS.findall(chunk.lower())
+            words += found
+            owner += [k] * len(found)
+        if not words:
+            return letters, out
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        np.add.at(letters, owner, sizes)
+        if not n:
+            return letters, out
+        text = "^" + "^".join(words) + "^"
+        codes, where = np.unique(np.frombuffer(text.encode("utf-32-le"), dtype="<u4"), return_inverse=True)
+        c = np.array([0 if x == ord("^") else self._number(chr(x)) for x in codes.tolist()], dtype=np.int64)[where]
+        # Word w has the letters first[w] to first[w] + sizes[w] and an end mark on either side.
+        first = np.cumsum(sizes + 1) - sizes
+        own = np.add.reduceat(self._scores(1, c), first)  # the mark behind a word has to go again
+        own -= self._scores(1, np.zeros(1, dtype=np.int64))
+        own += np.add.reduceat(self._scores(2, c[:-1] * self.base + c[1:]), first - 1)
+        three = self._scores(3, (c[:-2] * self.base + c[1:-1]) * self.base + c[2:])
+        own += np.add.reduceat(three, first - 1)
+        ends = first[:-1] + sizes[:-1] - 1  # the gram that spans two words
+        own[:-1] -= three[ends]
+        allowed = np.logical_or.reduceat(self.allowed[c], first)
+        own -= own.max(axis=1, keepdims=True)
+        own = np.where(allowed, own, own.min(axis=1, keepdims=True) - 20.0)
+        own[~allowed.any(axis=1)] = 0.0
+        np.add.at(out, owner, own)
         return letters, out
 
 
@@ -194,17 +226,21 @@ class Labeller:
         self._reset()
 
     def _reset(self) -> None:
-        n = len(self.model.langs)
         self.index: dict[str, int] = {}
-        self.rows, self.letters = [np.zeros(n)], [0]
+        self.size = 1  # row 0: a word that says nothing
+        self.scores = np.zeros((1024, len(self.model.langs)))
+        self.letters = np.zeros(1024, dtype=np.int64)
 
     def _learn(self, chunks: list[str]) -> None:
         letters, scores = self.model.score(chunks)
-        for chunk, k, row in zip(chunks, letters.tolist(), scores, strict=True):
-            self.index[chunk] = len(self.rows) if k else 0
-            if k:
-                self.rows.append(row)
-                self.letters.append(k)
+        says = letters > 0
+        n = int(says.sum())
+        while self.size + n > len(self.letters):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+        self.scores[self.size : self.size + n], self.letters[self.size : self.size + n] = scores[says], letters[says]
+        self.index.update(zip(chunks, np.where(says, self.size - 1 + np.cumsum(says), 0).tolist(), strict=True))
+        self.size += n
 
     def label(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text: the language (its index) of every word, and the letters of every word."""
@@ -213,7 +249,7 @@ class Labeller:
         words = [t.split() if t else [] for t in texts]
         self._learn([w for w in {w for ws in words for w in ws} if w not in self.index])
         ids = [np.fromiter(map(self.index.__getitem__, ws), dtype=np.int64, count=len(ws)) for ws in words]
-        scores, letters = np.array(self.rows), np.array(self.letters)
+        scores, letters = self.scores, self.letters
         if not self.model.langs:
             return [(np.zeros(len(x), dtype=np.int64), letters[x]) for x in ids]
         flat, firsts, counts = _blocks(ids)
@@ -250,10 +286,8 @@ _LABELLERS: dict[str, Labeller] = {}
 def _labeller(key: str, shared) -> Labeller:
     """One labeller for each model and worker process: the scores of words outlive a task."""
     if key not in _LABELLERS:
-        m = LanguageModel.__new__(LanguageModel)
-        m.rows, m.matrix, m.candidates, m.langs = shared.value
         _LABELLERS.clear()
-        _LABELLERS[key] = Labeller(m)
+        _LABELLERS[key] = Labeller(shared.value)
     return _LABELLERS[key]
 
 
@@ -262,7 +296,7 @@ def language_id(docs: DataFrame, model: LanguageModel, text_col: str = "text", p
 
     Spans are ``array<struct<first int, end int, lang string>>`` in words. Null and letterless texts are ``und``.
     """
-    shared = ship(docs.sparkSession).sparkContext.broadcast((model.rows, model.matrix, model.candidates, model.langs))
+    shared = ship(docs.sparkSession).sparkContext.broadcast(model)
 
     key = uuid.uuid4().hex
 
