@@ -379,7 +379,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
     columns = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     partial = columns.mapInPandas(fold, "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(32)))
-    salted = partial.groupBy("host", "salt").applyInPandas(lambda g: merge(g), "host string, wrapper string")
+    salted = partial.groupBy("host", "salt").applyInPandas(merge, "host string, wrapper string")
     return salted.groupBy("host").applyInPandas(merge, "host string, wrapper string")
 
 
