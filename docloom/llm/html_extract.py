@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import ast
+import hashlib
 import html as _html
 import json
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +44,9 @@ ELSEWHERE = frozenset("has with no without is not".split())
 #: Longest group that is looked for as a repetition, and most nodes of a wrapper; pages that do not fit into a
 #: full wrapper are read by the same slot rules without it.
 PERIOD, MAX_NODES = 12, 4096
-#: Texts remembered for a place, characters of each, and the pages of a host from which template texts are told.
+#: Texts remembered for a place, characters of each, and the different main contents of a host's pages from which template texts are told.
 FIXED_TEXTS, FIXED_CHARS, LEAST_PAGES = 20, 200, 3
+NOT_NOISE = ("#a", "#o")
 #: Wrapper tables up to this many bytes are sent to every executor; larger ones are joined to the pages by host.
 MAX_BROADCAST = 32 << 20
 
@@ -98,6 +101,12 @@ class Page:
                 end = low.find(f"</{name}", at)
                 at = n if end < 0 else end
 
+    def main(self) -> list[int]:
+        """Numbers of the texts in the article; of those outside noise, where there is no article."""
+        zones = [s for s in self.symbols if s[0] == "#"]
+        zone = "#a" if "#a" in zones else "#o"
+        return [k for k, z in enumerate(zones) if z == zone]
+
     def _symbol(self, s: str, name: str) -> None:
         if name in BLOCK:
             self._block += 1
@@ -185,20 +194,42 @@ def _groups(nodes: Iterable) -> set[tuple]:
     return {n for n in nodes if isinstance(n, tuple)}
 
 
-def _regroup(nodes: list, groups: set[tuple]) -> list:
-    """Single occurrences of what is a repeated group elsewhere become that group."""
+def _regroup(items: list[list], groups: set[tuple]) -> list[list]:
+    """Single occurrences of what is a repeated group elsewhere become that group, with all their texts. The group is
+    optional if every occurrence has an optional node, and only the texts of other occurrences are sure to be there."""
     for g in sorted(groups, key=lambda g: (-len(g), repr(g))):
         i, k, out = 0, len(g), []
-        while i < len(nodes):
-            if tuple(nodes[i : i + k]) == g:
-                if not (out and out[-1] == g):
-                    out.append(g)
+        while i < len(items):
+            if items[i][0] == g[0] and tuple(x[0] for x in items[i : i + k]) == g:
+                one = items[i : i + k]
+                optional = any(x[1] for x in one)
+                texts = [t for x in one for t in x[2] or ()] if not optional else []
+                if out and out[-1][0] == g:
+                    _, o, f = out[-1]
+                    out[-1] = [g, o and optional, f if f is None else list(dict.fromkeys([*(() if o else f), *texts]))]
+                else:
+                    out.append([g, optional, list(dict.fromkeys(texts)) if _has_text(g) else None])
                 i += k
             else:
-                out.append(nodes[i])
+                out.append(items[i])
                 i += 1
-        nodes = out
-    return nodes
+        items = out
+    return items
+
+
+def _skips(x: list, y: list) -> list[np.ndarray]:
+    """For every pair of places, a bit: whether leaving out the one of ``x`` loses no more than leaving out that of ``y``."""
+    number: dict = {}
+    p, q = ([number.setdefault(n, len(number)) for n in side] for side in (x, y))
+    equal = {n: np.equal(q, n) for n in set(p)}
+    below = np.zeros(len(y) + 1, dtype=np.int32)  # the longest common subsequence of what is left, by place of y
+    out = []
+    for n in reversed(p):
+        row = np.append(np.maximum(below[:-1], (below[1:] + 1) * equal[n]), 0)
+        row = np.maximum.accumulate(row[::-1])[::-1].astype(np.int32)
+        out.append(np.packbits(below[:-1] >= row[1:]))
+        below = row
+    return out[::-1]
 
 
 def _align(a: list, b: list) -> list[tuple[int, int]]:
@@ -210,17 +241,13 @@ def _align(a: list, b: list) -> list[tuple[int, int]]:
     while hi < min(len(a), len(b)) - lo and a[len(a) - 1 - hi] == b[len(b) - 1 - hi]:
         hi += 1
     x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x[i] == y[j] else max(below[j], row[j + 1])
     pairs, i, j = [(k, k) for k in range(lo)], 0, 0
+    skips = _skips(x, y) if x and y else []
     while i < len(x) and j < len(y):
         if x[i] == y[j]:
             pairs.append((lo + i, lo + j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+        elif skips[i][j >> 3] >> (7 - (j & 7)) & 1:
             i += 1
         else:
             j += 1
@@ -230,9 +257,9 @@ def _align(a: list, b: list) -> list[tuple[int, int]]:
 class Wrapper:
     """A union-free regular expression over tags and texts, with optional and repeated groups and text slots."""
 
-    def __init__(self, items: list | None = None, pages: int = 0, varies: bool = False) -> None:
+    def __init__(self, items: list | None = None, mains: Iterable[str] = ()) -> None:
         self.items: list[list] = items or []
-        self.pages, self.varies = pages, varies
+        self.mains = sorted(set(mains))[:LEAST_PAGES]  # digests of different main contents, as many as it takes
 
     @staticmethod
     def of(page: Page) -> Wrapper:
@@ -243,25 +270,17 @@ class Wrapper:
             inside = [next(texts)[1] for s in page.symbols[flat : flat + n] if s[0] == "#"]
             flat += n
             items.append([node, False, list(dict.fromkeys(x.strip()[:FIXED_CHARS] for x in inside))[:FIXED_TEXTS] if inside else None])
-        return Wrapper(items, 1)
+        return Wrapper(items, [_digest("\0".join(page.texts[k][1].strip() for k in page.main()))])
 
     def nodes(self) -> list:
         return [i[0] for i in self.items]
 
-    def _regrouped(self, groups: set[tuple]) -> Wrapper:
-        nodes = self.nodes()
-        new = _regroup(nodes, groups)
-        if new == nodes:
-            return self
-        at = dict(_align(new, nodes))
-        return Wrapper([[n, self.items[at[k]][1] if k in at else False, self.items[at[k]][2] if k in at else [] if _has_text(n) else None] for k, n in enumerate(new)], self.pages, self.varies)
-
     def merge(self, other: Wrapper) -> Wrapper:
         """The wrapper of both: what only one has is optional, groups repeat if they do in either, texts that differ are slots."""
         if not self.items or not other.items:
             return self if self.items else other
         groups = _groups(self.nodes()) | _groups(other.nodes())
-        a, b = self._regrouped(groups), other._regrouped(groups)
+        a, b = Wrapper(_regroup(self.items, groups)), Wrapper(_regroup(other.items, groups))
         out: list[list] = []
         i = j = 0
         for x, y in [*_align(a.nodes(), b.nodes()), (len(a.items), len(b.items))]:
@@ -270,33 +289,39 @@ class Wrapper:
                 (n, o, f), (_, p, g) = a.items[x], b.items[y]
                 out.append([n, o or p, common(f, g)])
             i, j = x + 1, y + 1
-        pages, varies = self.pages + other.pages, self.varies or other.varies or len(a.items) != len(b.items) or any(f != g for (_, _, f), (_, _, g) in zip(a.items, b.items, strict=True))
-        return Wrapper(self.items if len(out) > MAX_NODES else out, pages, varies)
+        return Wrapper(self.items if len(out) > MAX_NODES else out, [*self.mains, *other.mains])
 
     def absorb(self, same: Wrapper) -> None:
         """Merge a page of the very same structure, in place."""
-        self.pages += same.pages
+        self.mains = sorted({*self.mains, *same.mains})[:LEAST_PAGES]
         for a, b in zip(self.items, same.items, strict=True):
             if a[2] != b[2]:
-                a[2], self.varies = common(a[2], b[2]), True
+                a[2] = common(a[2], b[2])
 
     def slots(self) -> tuple:
-        """What pages need: the nodes, and for every one its template texts, in places that all pages have. Copies of
-        one page, or few pages, tell nothing about what is template."""
-        known = self.varies and self.pages >= LEAST_PAGES
-        return tuple((n, tuple(f) if f and known and not optional else ()) for n, optional, f in self.items)
+        """What pages need: the nodes, whether they are optional, and for every one its template texts, in places that all
+        pages have; nothing if there are none outside noise. Copies of one page, or few pages, tell nothing about what is
+        template, whatever changes around their main content."""
+        if len(self.mains) < LEAST_PAGES:
+            return ()
+        out = tuple((n, optional, tuple(f) if f and not optional and _has_text(n, NOT_NOISE) else ()) for n, optional, f in self.items)
+        return out if any(f for _, _, f in out) else ()
 
     def dump(self) -> str:
-        return json.dumps([self.pages, self.varies, self.items], ensure_ascii=False)
+        return json.dumps([self.mains, self.items], ensure_ascii=False)
 
     @staticmethod
     def load(text: str) -> Wrapper:
-        pages, varies, items = json.loads(text)
-        return Wrapper([[_tuples(n), o, f] for n, o, f in items], pages, varies)
+        mains, items = json.loads(text)
+        return Wrapper([[_tuples(n), o, f] for n, o, f in items], mains)
+
+
+def _has_text(n, zones: tuple[str, ...] = ("#",)) -> bool:
+    return any(_has_text(x, zones) for x in n) if isinstance(n, tuple) else n.startswith(zones)
 
 
-def _has_text(n) -> bool:
-    return any(map(_has_text, n)) if isinstance(n, tuple) else n[0] == "#"
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=16).hexdigest()
 
 
 def common(f: list | None, g: list | None) -> list | None:
@@ -307,29 +332,44 @@ def _tuples(n):
     return tuple(_tuples(x) for x in n) if isinstance(n, list) else n
 
 
-def template_texts(page: Page, slots: tuple | None) -> set[int]:
-    """Numbers of the texts that stand where the host's wrapper has the same text on every page."""
-    if not slots:
-        return set()
-    nodes, extents = fold_repeats(page.symbols)
-    wrapper = [s[0] for s in slots]
-    number, at, places = 0, 0, []
-    for n in extents:
-        inside = range(number, number := number + sum(s[0] == "#" for s in page.symbols[at : at + n]))
-        places.append(inside)
-        at += n
-    return {k for i, j in _align(wrapper, nodes) if slots[i][1] for k in places[j] if page.texts[k][1].strip()[:FIXED_CHARS] in slots[i][1]}
-
-
-def main_text(page: Page, slots: tuple | None = None) -> str:
-    """The article's blocks. A page without an article element gives its texts outside noise that are not template text."""
-    kept: list[tuple[int, str]] = []
-    zones = [s for s in page.symbols if s[0] == "#"]
-    if "#a" in zones:
-        kept = [t for t, z in zip(page.texts, zones, strict=True) if z == "#a"]
-    elif "#o" in zones:
-        fixed = template_texts(page, slots)
-        kept = [t for k, (t, z) in enumerate(zip(page.texts, zones, strict=True)) if z == "#o" and k not in fixed]
+class Slots:
+    """A host's wrapper as its pages are read, with the alignments of the structures met."""
+
+    MAX_MET = 256
+
+    def __init__(self, slots: tuple) -> None:
+        self.items = [[n, optional, frozenset(fixed)] for n, optional, fixed in slots]
+        self.groups = _groups(n for n, _, _ in slots)
+        self._met: dict[tuple, list[tuple[frozenset, list[int]]]] = {}
+
+    def template_texts(self, page: Page) -> set[int]:
+        """Numbers of the texts that stand where the wrapper has the same text on every page."""
+        if not self.items:
+            return set()
+        nodes, extents = fold_repeats(page.symbols)
+        key = tuple(nodes)
+        if key not in self._met:
+            if len(self._met) >= self.MAX_MET:
+                self._met.clear()
+            self._met[key] = self._places(nodes)
+        number, at, inside = 0, 0, []
+        for n in extents:
+            inside.append(range(number, number := number + sum(s[0] == "#" for s in page.symbols[at : at + n])))
+            at += n
+        return {k for fixed, places in self._met[key] for j in places for k in inside[j] if page.texts[k][1].strip()[:FIXED_CHARS] in fixed}
+
+    def _places(self, nodes: list) -> list[tuple[frozenset, list[int]]]:
+        """Template texts, and the numbers of the nodes that may hold them."""
+        groups = self.groups | _groups(nodes)
+        wrapper, own = _regroup(self.items, groups), _regroup([[n, False, [j]] for j, n in enumerate(nodes)], groups)
+        pairs = _align([i[0] for i in wrapper], [i[0] for i in own])
+        return [(frozenset(wrapper[i][2]), own[j][2]) for i, j in pairs if wrapper[i][2] and not wrapper[i][1]]
+
+
+def main_text(page: Page, slots: Slots | None = None) -> str:
+    """The article's blocks (a page without an article element: all blocks outside noise) without template texts."""
+    fixed = slots.template_texts(page) if slots else ()
+    kept = [page.texts[k] for k in page.main() if k not in fixed]
     blocks: dict[int, list[str]] = {}
     for block, text in kept:
         blocks.setdefault(block, []).append(text)
@@ -401,13 +441,13 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text
         @F.pandas_udf("string")
         def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             ids, texts = shared.value
-            slots: dict[int, tuple] = {}
+            slots: dict[int, Slots] = {}
             for host, source in batches:
                 out = []
                 for h, s in zip(host, source, strict=True):
                     k = ids.get(h)
                     if k is not None and k not in slots:
-                        slots[k] = ast.literal_eval(texts[k])
+                        slots[k] = Slots(ast.literal_eval(texts[k]))
                     out.append(main_text(Page(s), slots.get(k)) if s else "")
                 yield pd.Series(out, dtype=object)
 
@@ -416,7 +456,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text
     @F.pandas_udf("string")
     def read_joined(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for wrapper, source in batches:
-            yield pd.Series([(main_text(Page(s), Wrapper.load(w).slots() if w else None) if s else "") for w, s in zip(wrapper, source, strict=True)], dtype=object)
+            yield pd.Series([(main_text(Page(s), Slots(Wrapper.load(w).slots()) if w else None) if s else "") for w, s in zip(wrapper, source, strict=True)], dtype=object)
 
     row = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), host_of(F.col(url_col)).alias("host"))
     joined = row.join(wrappers, "host", "left")

@@ -272,6 +272,23 @@ def test_wrapper_merge_makes_optional_and_repeated_groups():
     assert html_extract.Wrapper.load(w.dump()).items == w.items
 
 
+
+def _read(pages):
+    w = html_extract.Wrapper()
+    for s in pages:
+        w = w.merge(html_extract.Wrapper.of(html_extract.Page(s)))
+    slots = html_extract.Slots(html_extract.Wrapper.load(w.dump()).slots())
+    return [html_extract.main_text(html_extract.Page(s), slots) for s in pages]
+
+
+def test_wrappers_judge_articles_too():
+    article = "<article><h1>Head {0}</h1><div class='lead'>Read this first</div>{1}<p>Send this to a friend</p></article><div>ad {0}</div>"
+    bodies = ["".join(f"<p>own {i} {k}</p>" for k in range(i)) for i in range(5)]  # none, one and several paragraphs
+    assert _read([article.format(i, b) for i, b in enumerate(bodies)]) == ["\n\n".join([f"Head {i}", *(f"own {i} {k}" for k in range(i))]) for i in range(5)]
+    copies = [f"<article><p>the same article</p></article><div>ad {i}</div>" for i in range(5)]
+    assert _read(copies) == ["the same article"] * 5  # what changes around it makes no template of an article
+
+
 # 2
 
 
