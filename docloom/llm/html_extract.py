@@ -41,8 +41,8 @@ NOISE = frozenset(
 )
 MAIN = frozenset("article main".split())
 ELSEWHERE = frozenset("has with no without is not".split())
-#: Longest group that is looked for as a repetition, and most nodes of a wrapper; pages that do not fit into a
-#: full wrapper are read by the same slot rules without it.
+#: Longest group that is looked for as a repetition, and the nodes of a wrapper beyond which it keeps only those that
+#: all pages have. Optional nodes tell no template text, so what is dropped decides nothing.
 PERIOD, MAX_NODES = 12, 4096
 #: Texts remembered for a place, characters of each, and the different main contents of a host's pages from which template texts are told.
 FIXED_TEXTS, FIXED_CHARS, LEAST_PAGES = 20, 200, 3
@@ -270,15 +270,15 @@ class Wrapper:
             inside = [next(texts)[1] for s in page.symbols[flat : flat + n] if s[0] == "#"]
             flat += n
             items.append([node, False, list(dict.fromkeys(x.strip()[:FIXED_CHARS] for x in inside))[:FIXED_TEXTS] if inside else None])
-        return Wrapper(items, [_digest("\0".join(page.texts[k][1].strip() for k in page.main()))])
+        return Wrapper(items, [_digest("\0".join(page.texts[k][1].strip() for k in page.main()))] if items else ())
 
     def nodes(self) -> list:
         return [i[0] for i in self.items]
 
     def merge(self, other: Wrapper) -> Wrapper:
         """The wrapper of both: what only one has is optional, groups repeat if they do in either, texts that differ are slots."""
-        if not self.items or not other.items:
-            return self if self.items else other
+        if not self.mains or not other.mains:  # no page; a wrapper may have pages and no nodes that all of them have
+            return self if self.mains else other
         groups = _groups(self.nodes()) | _groups(other.nodes())
         a, b = Wrapper(_regroup(self.items, groups)), Wrapper(_regroup(other.items, groups))
         out: list[list] = []
@@ -289,7 +289,9 @@ class Wrapper:
                 (n, o, f), (_, p, g) = a.items[x], b.items[y]
                 out.append([n, o or p, common(f, g)])
             i, j = x + 1, y + 1
-        return Wrapper(self.items if len(out) > MAX_NODES else out, [*self.mains, *other.mains])
+        if len(out) > MAX_NODES:
+            out = [x for x in out if not x[1]]
+        return Wrapper(out, [*self.mains, *other.mains])
 
     def absorb(self, same: Wrapper) -> None:
         """Merge a page of the very same structure, in place."""

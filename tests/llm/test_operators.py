@@ -289,6 +289,14 @@ def test_wrappers_judge_articles_too():
     assert _read(copies) == ["the same article"] * 5  # what changes around it makes no template of an article
 
 
+def test_full_wrappers_make_no_template_of_a_page():
+    r = random.Random(4)
+    long = lambda i, n: "<div>Site of all</div>" + "".join(f"<p class='c{r.randrange(10**6)}'>own {i} {k}</p>" for k in range(n))
+    want = lambda i, n: "\n\n".join(f"own {i} {k}" for k in range(n))
+    for sizes in [(800, 800, 800), (1500, 3, 3, 5)]:  # nodes of all pages together, and of the first page alone, beyond MAX_NODES
+        assert _read([long(i, n) for i, n in enumerate(sizes)]) == [want(i, n) for i, n in enumerate(sizes)]
+
+
 # 2
 
 
