@@ -44,8 +44,8 @@ ELSEWHERE = frozenset("has with no without is not".split())
 #: Longest group that is looked for as a repetition, and the nodes of a wrapper beyond which it keeps only those that
 #: all pages have. Optional nodes tell no template text, so what is dropped decides nothing.
 PERIOD, MAX_NODES = 12, 4096
-#: Texts remembered for a place, characters of each, and the different main contents of a host's pages from which template texts are told.
-FIXED_TEXTS, FIXED_CHARS, LEAST_PAGES = 20, 200, 3
+#: Longest text that stands for itself in a wrapper (longer ones by a digest), and the different main contents of a host's pages from which template texts are told.
+PLAIN_CHARS, LEAST_PAGES = 32, 3
 NOT_NOISE = ("#a", "#o")
 #: Wrapper tables up to this many bytes are sent to every executor; larger ones are joined to the pages by host.
 MAX_BROADCAST = 32 << 20
@@ -162,7 +162,7 @@ class Page:
 
 
 # A node is a symbol, or a tuple of nodes: a repeated group. A wrapper is a list of [node, optional, fixed], where
-# fixed lists the texts that all pages have in this place (a place without one is a slot; None: there is no text).
+# fixed lists the keys of the texts that all pages have in this place (a place without one is a slot; None: there is no text).
 
 
 def fold_repeats(symbols: Iterable) -> tuple[list, list[int]]:
@@ -269,8 +269,8 @@ class Wrapper:
         for node, n in zip(*fold_repeats(page.symbols), strict=True):
             inside = [next(texts)[1] for s in page.symbols[flat : flat + n] if s[0] == "#"]
             flat += n
-            items.append([node, False, list(dict.fromkeys(x.strip()[:FIXED_CHARS] for x in inside))[:FIXED_TEXTS] if inside else None])
-        return Wrapper(items, [_digest("\0".join(page.texts[k][1].strip() for k in page.main()))] if items else ())
+            items.append([node, False, list(dict.fromkeys(map(text_key, inside))) if inside else None])
+        return Wrapper(items, [_digest("\0".join(text_key(page.texts[k][1]) for k in page.main()))] if items else ())
 
     def nodes(self) -> list:
         return [i[0] for i in self.items]
@@ -326,8 +326,17 @@ def _digest(text: str) -> str:
     return hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=16).hexdigest()
 
 
+def text_key(text: str) -> str:
+    """A text as wrappers remember it: itself if it is short, else a digest and the length of all of it."""
+    text = text.strip()
+    return text if len(text) <= PLAIN_CHARS else f"{_digest(text)}:{len(text)}"
+
+
 def common(f: list | None, g: list | None) -> list | None:
-    return None if f is None or g is None else [x for x in f if x in g]
+    if f is None or g is None:
+        return None
+    both = set(f).intersection(g)
+    return [x for x in f if x in both]
 
 
 def _tuples(n):
@@ -358,7 +367,7 @@ class Slots:
         for n in extents:
             inside.append(range(number, number := number + sum(s[0] == "#" for s in page.symbols[at : at + n])))
             at += n
-        return {k for fixed, places in self._met[key] for j in places for k in inside[j] if page.texts[k][1].strip()[:FIXED_CHARS] in fixed}
+        return {k for fixed, places in self._met[key] for j in places for k in inside[j] if text_key(page.texts[k][1]) in fixed}
 
     def _places(self, nodes: list) -> list[tuple[frozenset, list[int]]]:
         """Template texts, and the numbers of the nodes that may hold them."""

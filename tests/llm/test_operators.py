@@ -297,6 +297,14 @@ def test_full_wrappers_make_no_template_of_a_page():
         assert _read([long(i, n) for i, n in enumerate(sizes)]) == [want(i, n) for i, n in enumerate(sizes)]
 
 
+def test_template_texts_are_compared_whole_and_all():
+    same = "the same beginning of all pages " * 20
+    links = [f"link {k}" for k in range(50)]
+    menu = lambda i: "".join(f"<li>{x}</li>" for x in [*links, f"own link {i}"])
+    pages = [f"<p>{same}</p><div>{same} but an end of page {i}</div><ul>{menu(i)}</ul>" for i in range(4)]
+    assert _read(pages) == [f"{same}but an end of page {i}\n\nown link {i}" for i in range(4)]
+
+
 # 2
 
 
