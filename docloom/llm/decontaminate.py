@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import checkpoint, doc_key, let, text_of
@@ -12,7 +12,8 @@ SIMILARITY = 0.8
 #: Two windows of equal size and weighted similarity 0.8 differ in 64 * acos(8/9) / pi = 9.7 of 64 bits, with a deviation
 #: of 2.9; up to 21 (four deviations) they are candidates. 22 blocks: within 21 bits at least one block is equal.
 RADIUS, BLOCKS = 21, 22
-#: Shingles of the largest item whose counts fit the 16-bit lanes below.
+#: Items of fewer shingles get fingerprints, whose counts fit the 16-bit lanes below; larger ones are compared by
+#: ``_sliding``.
 MAX_SHINGLES = 1 << 15
 #: Item shingles up to this number are sent to every executor (24 bytes each); more are joined by a shuffle.
 MAX_BROADCAST = 1 << 20
@@ -76,6 +77,26 @@ def _same_block(a: Column, b: Column) -> Column:
     return out
 
 
+def _sliding(flagged: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """``id, text_hash, item_id, first, similarity`` of the best windows of items of any size, without fingerprints.
+
+    The p-th word of a document adds to the common weight of the windows that hold it and, before it, fewer
+    occurrences of its shingle than the item has. Their first words are one interval, so a running sum over the ends of
+    all intervals gives the exact similarity of every window, in the order of the shared shingles.
+    """
+    key = ["id", "text_hash", "item_id", "item_hash"]
+    counts = items.select("item_id", "item_hash", F.size("item").alias("size"), F.explode("item").alias("h")).groupBy("item_id", "item_hash", "size", "h").agg(F.count("*").cast("int").alias("c"))
+    places = flagged.select("id", "text_hash", F.size("doc").alias("n"), F.inline("anchors")).join(counts, "h").groupBy(*key, "size", "n", "c", "h").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    since = lambda p, i: F.greatest(p - F.col("size") + 1, F.coalesce(F.get("at", F.when(i >= F.col("c"), i - F.col("c"))) + 1, F.lit(0)), F.lit(0))
+    ends = places.select(*key, "size", "n", F.inline(F.flatten(F.transform("at", lambda p, i: F.array(F.struct(since(p, i).alias("first"), F.lit(1).alias("d")), F.struct((p + 1).alias("first"), F.lit(-1).alias("d")))))))
+    order = Window.partitionBy(*key).orderBy("first")
+    runs = ends.groupBy(*key, "size", "n", "first").agg(F.sum("d").alias("d")).withColumn("common", F.sum("d").over(order)).withColumn("last", F.lead("first").over(order) - 1).where(F.col("common") > 0)
+    # Windows at the end of a document are shorter, so the last one of a run can be more similar than the first.
+    tried = runs.select("id", "text_hash", "item_id", "size", "n", "common", F.explode(F.array("first", "last")).alias("first"))
+    total = F.least(F.col("size"), F.col("n") - F.col("first")) + F.col("size")
+    return tried.select("id", "text_hash", "item_id", "first", (F.col("common") / (total - F.col("common"))).alias("similarity")).where(F.col("similarity") >= least)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """``id, text_hash, item_id, first, similarity``: every (document, item) where a window of the item's size reaches
     the similarity, with the best window (its first word, from 0).
@@ -83,13 +104,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A window that shares no shingle with an item has similarity 0, so fingerprints are made for the windows around
     shared shingles only (a constant Bloom filter in the scan finds them, and the exact table confirms them): all
     windows of the item's size that hold one. Windows within the Hamming radius are then compared exactly.
+    Items of ``MAX_SHINGLES`` shingles or more are compared with all their windows, exactly and without fingerprints.
 
     Null and empty texts, and texts and items of fewer than five words, match nothing. Items repeated with the same
     id and text count once; a null document id counts as the smallest, and null item ids are left out.
     """
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull())
     items = items.select(F.col(item_col).alias("item_id"), shingle_hashes(F.col(item_text)).alias("item")).where(F.size("item") > 0).distinct()
-    items = checkpoint(items.where(F.size("item") < MAX_SHINGLES).select("item_id", "item", F.xxhash64("item").alias("item_hash"), simhash(F.col("item")).alias("item_print")))
+    items = checkpoint(items.select("item_id", "item", F.xxhash64("item").alias("item_hash"), F.when(F.size("item") < MAX_SHINGLES, simhash(F.col("item"))).alias("item_print")))
     vocabulary = checkpoint(items.select(F.explode(F.array_distinct("item")).alias("h"), "item_id", "item_hash", F.size("item").alias("size")))
     n = vocabulary.count()
     bloom = BitFilter(vocabulary, n)
@@ -104,7 +126,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     flagged = base.select("id", "text_hash", F.explode(F.array(both)).alias("x")).select("id", "text_hash", "x.doc", "x.anchors").where(F.size("anchors") > 0)
     flagged = checkpoint(flagged.dropDuplicates(["id", "text_hash"]))
     near = flagged.select("id", "text_hash", F.inline("anchors"))
-    met = near.join(F.broadcast(vocabulary) if n <= MAX_BROADCAST else vocabulary, "h").groupBy("id", "text_hash", "item_id", "item_hash", "size").agg(F.collect_set("at").alias("places"))
+    small = vocabulary.where(F.col("size") < MAX_SHINGLES)
+    met = near.join(F.broadcast(small) if n <= MAX_BROADCAST else small, "h").groupBy("id", "text_hash", "item_id", "item_hash", "size").agg(F.collect_set("at").alias("places"))
     starts = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(F.greatest(p - F.col("size") + 1, F.lit(0)), p))))
     windows = (
         met.join(flagged.select("id", "text_hash", "doc"), ["id", "text_hash"])
@@ -115,6 +138,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     prints = windows.withColumn("print", simhash(F.col("window")))
     close = prints.where(_same_block(F.col("print"), F.col("item_print")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS))
     hits = close.withColumn("similarity", weighted_similarity(F.col("window"), F.col("item"))).where(F.col("similarity") >= least)
+    hits = hits.select("id", "text_hash", "item_id", "first", "similarity")
+    large = items.where(F.size("item") >= MAX_SHINGLES)
+    if not large.isEmpty():
+        hits = hits.unionByName(_sliding(flagged, large, least))
     best = hits.groupBy("id", "text_hash", "item_id").agg(F.max(F.struct("similarity", F.negative("first").alias("back"))).alias("b"))
     return best.select("id", "text_hash", "item_id", F.negative("b.back").alias("first"), F.col("b.similarity").alias("similarity"))
 

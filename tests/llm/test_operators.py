@@ -341,6 +341,20 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(df, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontaminate_items_beyond_the_lanes(spark, monkeypatch):
+    r = random.Random(9)
+    long = " ".join(f"w{r.randrange(10**6)}" for _ in range(33_000))
+    items = spark.createDataFrame([(1, long), (2, "a b c d e " * 12), (3, _prose(r, 40))], "item_id long, text string")
+    texts = [f"{_prose(r, 20)} x {long} {_prose(r, 9)}", "z z a b c d e " + "a b c d e " * 11, items.collect()[2].text + " tail", _prose(r, 50) + " y " + " ".join(items.collect()[2].text.split()[:38]), _prose(r, 80)]
+    df = _docs(spark, list(enumerate(texts)))
+    hits = lambda: {(x.id, x.item_id): (x.first, round(x.similarity, 9)) for x in decontaminate.contaminated(df, items).collect()}
+    got = hits()
+    at = _words(texts[0]).index("x") + 1
+    assert got[0, 1] == (at, 1.0) and {k for k in got if k[1] == 1} == {(0, 1)} and decontaminate.decontaminate(df, items).where("doc_id = 0").isEmpty()
+    monkeypatch.setattr(decontaminate, "MAX_SHINGLES", 1)  # all items without fingerprints: the same windows
+    assert hits() == got and len(got) == 4
+
+
 def test_simhash_bits(spark):
     r = random.Random(1)
     sets = [[r.getrandbits(64) - 2**63 for _ in range(n)] for n in (1, 2, 7, 40, 300)]
