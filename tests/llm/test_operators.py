@@ -308,59 +308,119 @@ def test_template_texts_are_compared_whole_and_all():
 # 2
 
 
+def _decontaminate_brute(docs, bench):
+    """Every window of every item's size (at the end of a text down to 0.8 of it) against every item, and the first of the best."""
+    want = {}
+    for i, t in docs:
+        for k, b in bench:
+            size = min(5, len(_words(b or "")))
+            if k is None or not size:
+                continue
+            g, s = _grams(_words(b), size), _grams(_words(t or ""), size)
+            need, best = Counter(g), (0.0, 0)
+            for at in range(len(s)):
+                w = s[at : at + len(g)]
+                if not need.keys() & set(w):
+                    continue
+                c = sum((Counter(w) & need).values())
+                best = max(best, (c / (len(w) + len(g) - c), -at))
+            if best[0] >= 0.8:
+                want[(-(2**63) if i is None else i), k] = (-best[1], round(best[0], 9))
+    return want
+
+
+def _hits(df, items, **kw):
+    return {(x.id, x.item_id): (x.first, round(x.similarity, 9)) for x in decontaminate.contaminated(df, items, **kw).collect()}
+
+
+ITEMS = "item_id long, text string"
+
+
 def test_decontaminate(spark):
     r = random.Random(8)
-    bench = [(i, _prose(r, n)) for i, n in enumerate([5, 8, 20, 40, 60, 4, 0])] + [(7, None), (None, "some item without any id at all"), (8, "a b c d e " * 12)]
+    bench = [(i, _prose(r, n)) for i, n in enumerate([5, 8, 20, 40, 60, 0])] + [(7, None), (None, "some item without any id at all"), (8, "a b c d e " * 12), (9, "Only three words"), (10, "four other words here")]
     docs = [(i, _prose(r, r.randrange(1, 300))) for i in range(40)]
-    for i, k in enumerate([0, 1, 2, 3, 4, 3, 3, 8]):
+    for i, k in enumerate([0, 1, 2, 3, 4, 3, 3, 8, 9, 10]):
         words = bench[[x[0] for x in bench].index(k)][1].split(" ")
-        if i >= 5:
+        if 5 <= i < 8:
             words[len(words) // 2] = "changed"
         docs.append((100 + i, f"{_prose(r, 50)} {' '.join(words).upper()} {_prose(r, 30)}"))
+    docs += [(150, "only three other words and only three words"), (151, " ".join(bench[3][1].split(" ")[:36])), (152, _prose(r, 9) + " " + " ".join(bench[4][1].split(" ")[:55]))]
     docs += [(200, None), (201, ""), (202, _prose(r, 20_000) + " " + bench[3][1]), (203, docs[40][1]), docs[44], (None, bench[4][1])]
-    df, items = _docs(spark, docs), spark.createDataFrame(bench, "item_id long, text string")
-    got = {(x.id, x.item_id): x.similarity for x in decontaminate.contaminated(df, items).collect()}
-    want = {}
-    for i, t in docs:
-        s = _grams(_words(t or ""))
-        for k, b in bench:
-            g = _grams(_words(b or ""))
-            if k is None or not g or not set(g) & set(s):
-                continue
-            best = 0.0
-            for at in range(max(1, len(s))):
-                w = s[at : at + len(g)]
-                c = sum((Counter(w) & Counter(g)).values())
-                best = max(best, c / (len(w) + len(g) - c))
-            if best >= 0.8:
-                want[(-(2**63) if i is None else i), k] = best
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) >= 8
+    df, items = _docs(spark, docs), spark.createDataFrame(bench, ITEMS)
+    got, want = _hits(df, items), _decontaminate_brute(docs, bench)
+    assert got == want and len(want) >= 13 and {k for _, k in want} >= {0, 1, 2, 3, 4, 8, 9, 10}
     left = decontaminate.decontaminate(df.withColumn("id", F.lit("clash")), items)
     assert left.columns == ["doc_id", "text", "id"] and left.count() == len(docs) - len({k for k, _ in want}) - 1  # one hit is a repeated row
     assert decontaminate.contaminated(spark.createDataFrame([], EMPTY), items).count() == 0
-    assert decontaminate.contaminated(df, spark.createDataFrame([], "item_id long, text string")).count() == 0
+    assert decontaminate.contaminated(df, spark.createDataFrame([], ITEMS)).count() == 0
+
+
+def test_decontaminate_by_fingerprints_alone(spark, monkeypatch):
+    r = random.Random(10)
+    bench = [(i, _prose(r, n)) for i, n in enumerate([12, 25, 40])] + [(3, "two words")]
+    docs = [(i, _prose(r, r.randrange(1, 120))) for i in range(20)] + [(100 + i, f"{_prose(r, 20)} {b} {_prose(r, 15)}") for i, b in bench]
+    df, items = _docs(spark, docs), spark.createDataFrame(bench, ITEMS)
+    want = _decontaminate_brute(docs, bench)
+    assert _hits(df, items, prune=False) == _hits(df, items) == want and len(want) == 4
+    # The blocks retrieve: where those of windows and items never meet, nothing is found.
+    of, calls = decontaminate.blocks, iter(range(100))
 
+    def apart(c):
+        n = 100 * next(calls)
+        return F.transform(of(c), lambda b: F.struct((b["block"] + n).alias("block"), b["bits"].alias("bits")))
 
-def test_decontaminate_items_beyond_the_lanes(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "blocks", apart)
+    assert _hits(df, items) == {}
+
+
+def test_decontaminate_long_items(spark):
     r = random.Random(9)
-    long = " ".join(f"w{r.randrange(10**6)}" for _ in range(33_000))
-    items = spark.createDataFrame([(1, long), (2, "a b c d e " * 12), (3, _prose(r, 40))], "item_id long, text string")
-    texts = [f"{_prose(r, 20)} x {long} {_prose(r, 9)}", "z z a b c d e " + "a b c d e " * 11, items.collect()[2].text + " tail", _prose(r, 50) + " y " + " ".join(items.collect()[2].text.split()[:38]), _prose(r, 80)]
-    df = _docs(spark, list(enumerate(texts)))
-    hits = lambda: {(x.id, x.item_id): (x.first, round(x.similarity, 9)) for x in decontaminate.contaminated(df, items).collect()}
-    got = hits()
-    at = _words(texts[0]).index("x") + 1
-    assert got[0, 1] == (at, 1.0) and {k for k in got if k[1] == 1} == {(0, 1)} and decontaminate.decontaminate(df, items).where("doc_id = 0").isEmpty()
-    monkeypatch.setattr(decontaminate, "MAX_SHINGLES", 1)  # all items without fingerprints: the same windows
-    assert hits() == got and len(got) == 4
+    long, longer = (" ".join(f"w{r.randrange(10**6)}" for _ in range(n)) for n in (10_000, 17_000))
+    edited = long.split()
+    for _ in range(150):
+        edited[r.randrange(len(edited))] = "edit"
+    items = spark.createDataFrame([(1, longer), (2, long), (3, "a b c d e " * 12), (4, _prose(r, 40))], ITEMS)
+    texts = [f"{_prose(r, 20)} x {longer} {_prose(r, 9)}", f"{_prose(r, 30)} x {' '.join(edited)}", f"{_prose(r, 30)} x {long} {_prose(r, 9)}", "z z a b c d e " + "a b c d e " * 11, _prose(r, 80)]
+    got = _hits(_docs(spark, list(enumerate(texts))), items)
+    at = lambda i: _words(texts[i]).index("x") + 1
+    g, s = _grams(edited), set(_grams(long.split()))
+    c = sum(x in s for x in g)
+    assert got[0, 1] == (at(0), 1.0) and got[2, 2] == (at(2), 1.0) and abs(got[1, 2][1] - c / (2 * len(g) - c)) < 0.01 and set(got) == {(0, 1), (2, 2), (1, 2), (3, 3)}
+
+
+def test_windows_within_the_radius():
+    """What the radius keeps of windows at the least similarity (the figure in the README)."""
+    rng = np.random.default_rng(3)
+    signs = lambda n: rng.integers(0, 2, (n, 64)).astype(np.int32)
+    for n in (9, 18, 36, 90):
+        kept = 0
+        for _ in range(2000):
+            item, changed = signs(n), n - int(np.ceil(n * 1.6 / 1.8 - 1e-9))
+            window = np.concatenate([item[changed:], signs(changed)])
+            kept += int(((2 * item.sum(0) > n) != (2 * window.sum(0) > n)).sum()) <= decontaminate.RADIUS
+        assert kept >= 1996
 
 
 def test_simhash_bits(spark):
     r = random.Random(1)
     sets = [[r.getrandbits(64) - 2**63 for _ in range(n)] for n in (1, 2, 7, 40, 300)]
-    for x in spark.createDataFrame([(a,) for a in sets], "a array<bigint>").select("a", decontaminate.simhash(F.col("a")).alias("s")).collect():
-        want = sum(1 << (16 * (b % 4) + b // 4) for b in range(64) if 2 * sum(v >> b & 1 for v in x.a) > len(x.a))
-        assert x.s % 2**64 == want
+    for votes in (decontaminate.Votes(300), decontaminate.Votes(1 << 20)):
+        bits = lambda a: sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in a) > len(a))
+        frame = spark.createDataFrame([(a,) for a in sets], "a array<bigint>")
+        for x in frame.select("a", votes.simhash(F.col("a")).alias("s"), votes.rolled(F.col("a"), F.lit(5), F.size("a")).alias("rolled")).collect():
+            assert x.s % 2**64 == bits(x.a)
+            assert [p % 2**64 for p in x.rolled] == [bits(x.a[i : i + 5]) for i in range(len(x.a))]
+
+
+def test_labelled_multisets(spark):
+    r = random.Random(2)
+    pairs = [([r.randrange(9) for _ in range(r.randrange(1, 30))], [r.randrange(9) for _ in range(r.randrange(1, 30))]) for _ in range(50)] + [([], [1]), ([1, 2], [2, 3])]
+    from docloom.llm.shingling import labelled
+
+    frame = spark.createDataFrame(pairs, "a array<bigint>, b array<bigint>")
+    for x in frame.select("a", "b", F.size(F.array_intersect(labelled(F.col("a")), labelled(F.col("b")))).alias("n")).collect():
+        assert x.n == sum((Counter(x.a) & Counter(x.b)).values())
 
 
 # 4
