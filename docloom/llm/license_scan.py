@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import checkpoint, doc_key, let, text_of
-from docloom.llm.shingling import WORDS, BitFilter, long_array, shingle_hashes, shingles_of, word_hashes
+from docloom.llm.shingling import WORDS, BitFilter, places_of, shingle_hashes, shingles_of, window_starts, word_hashes
 
 #: License notices and grants, as they are published.
 TEMPLATES = (
@@ -70,82 +70,65 @@ BANDS = 24
 MAX_BROADCAST = 1 << 20
 
 
-def _splitmix(n: int) -> list[int]:
-    out, state, full = [], 0x1234_5678_9ABC_DEF0, (1 << 64) - 1
-    for _ in range(n):
-        state = (state + 0x9E37_79B9_7F4A_7C15) & full
-        z = ((state ^ state >> 30) * 0xBF58_476D_1CE4_E5B9) & full
-        z = ((z ^ z >> 27) * 0x94D0_49BB_1331_11EB) & full
-        z ^= z >> 31
-        out.append(z - (1 << 64) if z >> 63 else z)
-    return out
+def band_keys(shingles: Column) -> Column:
+    """One key per band: the band's number with the least of the shingles' hashes under the band's own hash."""
+    least = lambda k: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, k)))
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, least(k)))
 
 
-def band_keys(shingles: Column) -> Column:
-    """One key per band: the band's number with the least hash under the band's permutation (exclusive or)."""
-    seeds = long_array(_splitmix(BANDS))
-    return F.transform(seeds, lambda c, k: F.xxhash64(k, F.array_min(F.transform(shingles, lambda h: h.bitwiseXOR(c)))))
+def _windows(docs: DataFrame, sizes: dict[int, list[int]], known, least: float, id_col: str, text_col: str) -> DataFrame:
+    """``id, text_hash, words, n, first, window``: the windows for templates of ``n`` shingles that may hold ``least`` of
+    one, since they have that many shingles of any template (``known``); others cannot, and get no signature."""
+
+    def of_size(k: int, s: Column, places: Column, n: Column) -> Column:
+        width, step = F.ceil(n * 1.5).cast("int"), F.greatest(F.lit(1), F.floor(n / 4).cast("int"))
+        need = F.greatest(F.lit(1), F.ceil(n * least - F.lit(1e-9)).cast("int"))
+        row = lambda j: F.struct(F.lit(k).alias("words"), n.alias("n"), (j * step).alias("first"), F.slice(s, j * step + 1, width).alias("window"))
+        return F.transform(window_starts(places, width, need, F.size(s) - 1, step), row)
+
+    def of_words(k: int, s: Column) -> Column:
+        each = F.split(F.lit(",".join(map(str, sizes[k]))), ",").cast("array<int>")
+        return let(places_of(s, known), lambda p: F.flatten(F.transform(F.filter(each, lambda n: n * least <= F.size(p)), lambda n: of_size(k, s, p, n))))
 
+    found = let(word_hashes(text_of(text_col)), lambda h: F.concat(*[let(shingles_of(h, k), lambda s, k=k: of_words(k, s)) for k in sorted(sizes)]))
+    return docs.select(doc_key(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_hash"), F.explode(found).alias("x")).select("id", "text_hash", "x.*")
 
-def license_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = CONTAINMENT) -> DataFrame:
+
+def license_hits(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = CONTAINMENT, prune: bool = True
+) -> DataFrame:
     """``id, text_hash, license, template, first, containment``: every (document, template) with a window that holds
     at least ``least`` of the template's shingles, and the first of its best windows (in words from 0).
 
-    Shingles are five words (letters, digits and _, lower case); a template of fewer words is one shingle. Only
-    windows that hold a template's shingle can contain any of it, so only those get a signature; a constant Bloom
-    filter in the scan finds them. Null and empty texts hold nothing; a null id counts as the smallest.
+    Overlapping windows of each template size get MinHash bands; a window that shares a band with templates of its size
+    is compared with those. With ``prune``, windows with too few shingles of any template to hold ``least`` of one get no
+    bands (a constant Bloom filter in the scan counts them); that loses nothing, and without it every window gets them.
+
+    Shingles are five words (letters, digits and _, lower case); a template of fewer words is one shingle, and one
+    without words is left out. Null, empty and wordless texts hold nothing; an empty table, or no templates, give an
+    empty result. A null id counts as the smallest; rows repeated with the same id and text count once.
     """
     spark = docs.sparkSession
-    rows = [(i, name, text) for i, (name, text) in enumerate(templates)]
-    if not rows:
-        return spark.createDataFrame([], "id long, text_hash long, license string, template int, first int, containment double")
+    rows = [(i, name, text) for i, (name, text) in enumerate(templates) if name is not None and text is not None]
     table = spark.createDataFrame(rows, "template int, license string, text string").withColumn("words", F.least(F.lit(WORDS), F.size(word_hashes(F.col("text")))))
-    sizes = sorted(r[0] for r in table.select("words").distinct().collect() if r[0] > 0)
-    by_size = lambda make: F.coalesce(*[F.when(F.col("words") == k, make(k)) for k in sizes])
-    known = table.where("words > 0").select("template", "license", "words", F.array_distinct(by_size(lambda k: shingle_hashes(F.col("text"), k))).alias("shingles"))
+    by_size = F.coalesce(*[F.when(F.col("words") == k, shingle_hashes(F.col("text"), k)) for k in range(1, WORDS + 1)])
+    known = table.where("words > 0").select("template", "license", "words", F.array_distinct(by_size).alias("shingles"))
+    # Written first, so that each signature is made once.
     known = checkpoint(known.select("*", F.size("shingles").alias("n"), band_keys(F.col("shingles")).alias("bands")))
-    vocabulary = checkpoint(known.select("template", "words", "n", F.explode("shingles").alias("h")))
-    total = vocabulary.count()
-    bloom = BitFilter(vocabulary.select("h"), total)
-
-    widest = {r[0]: r[1] for r in known.groupBy("words").agg(F.max(F.ceil(F.col("n") * 1.5))).collect()}
-
-    def parts(hashes: Column) -> Column:
-        """The stretches of a text, in shingles of each size, where windows with a template's shingle lie: cells of
-        the widest window's size with one more on each side."""
-
-        def of_size(k: int, s: Column) -> Column:
-            bits = max(1, (widest[k] - 1).bit_length())
-            hit = F.transform(s, lambda h, i: F.when(bloom.may_hold(h) if bloom.ok else F.lit(True), F.struct(h.alias("h"), i.alias("at"))))
-            cell_of = lambda x: F.shiftright(x["at"], bits)
-
-            def stretch(anchors: Column, cell: Column) -> Column:
-                start = F.greatest(F.lit(0), F.shiftleft(cell - 1, bits))
-                part = F.slice(s, start + 1, F.shiftleft(cell + 2, bits) - start)
-                return F.struct(F.lit(k).alias("words"), cell.alias("cell"), start.alias("start"), part.alias("part"), F.filter(anchors, lambda x: cell_of(x) == cell).alias("anchors"))
-
-            found = lambda a: F.transform(F.array_distinct(F.transform(a, cell_of)), lambda cell: stretch(a, cell))
-            return let(F.filter(hit, lambda x: x.isNotNull()), found)
-
-        return F.concat(*[let(shingles_of(hashes, k), lambda s, k=k: of_size(k, s)) for k in sizes])
-
-    stretches = checkpoint(
-        docs.select(doc_key(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_hash"), F.explode(let(word_hashes(text_of(text_col)), parts)).alias("x")).select("id", "text_hash", "x.*")
-    )
-    place = ["id", "text_hash", "words", "cell"]
-    near = stretches.select(*place, F.inline("anchors"))
-    met = near.join(F.broadcast(vocabulary) if total <= MAX_BROADCAST else vocabulary, ["words", "h"]).groupBy(*place, "template", "n").agg(F.collect_set("at").alias("places"))
-    step = F.greatest(F.lit(1), F.floor(F.col("n") / 4).cast("int"))
-    width = F.ceil(F.col("n") * 1.5).cast("int")
-    steps = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(F.greatest(F.lit(0), F.ceil((p - width + 1) / step).cast("int")), F.floor(p / step).cast("int")))))
-    cut = lambda j: F.struct((j * step).alias("first"), F.slice("part", j * step - F.col("start") + 1, width).alias("window"))
-    windows = (
-        met.join(stretches.drop("anchors"), place)
-        .select("id", "text_hash", "template", F.explode(F.transform(steps, cut)).alias("w"))
-        .select("id", "text_hash", "template", "w.first", "w.window")
-        .where(F.size("window") > 0)
-    )
-    retrieved = windows.withColumn("keys", band_keys(F.col("window"))).join(F.broadcast(known) if total <= MAX_BROADCAST else known, "template").where(F.arrays_overlap("keys", "bands"))
-    hits = retrieved.withColumn("containment", F.size(F.array_intersect("shingles", "window")) / F.col("n")).where(F.col("containment") >= least)
+    sizes: dict[int, list[int]] = {}
+    for k, n in known.select("words", "n").distinct().sort("words", "n").collect():
+        sizes.setdefault(k, []).append(n)
+    if not sizes:
+        return spark.createDataFrame([], "id long, text_hash long, license string, template int, first int, containment double")
+    vocabulary = known.select(F.explode("shingles").alias("h")).distinct()
+    small = known.agg(F.sum("n")).first()[0] <= MAX_BROADCAST
+    side = lambda frame: F.broadcast(frame) if small else frame
+    may_hold = BitFilter(vocabulary, vocabulary.count()).may_hold if prune else lambda h: F.lit(True)
+    windows = checkpoint(_windows(docs, sizes, may_hold, least, id_col, text_col).where(F.size("window") > 0))
+    place = ["id", "text_hash", "words", "n", "first"]
+    banded = windows.select(*place, F.explode(band_keys(F.col("window"))).alias("band"))
+    met = banded.join(side(known.select("template", "words", "n", F.explode("bands").alias("band"))), ["words", "n", "band"]).select(*place, "template").distinct()
+    tried = met.join(windows.dropDuplicates(place), place).join(side(known.select("template", "license", "shingles")), "template")
+    hits = tried.withColumn("containment", F.size(F.array_intersect("shingles", "window")) / F.col("n")).where(F.col("containment") >= least)
     best = hits.groupBy("id", "text_hash", "license", "template").agg(F.max(F.struct("containment", F.negative("first").alias("back"))).alias("b"))
     return best.select("id", "text_hash", "license", "template", F.negative("b.back").alias("first"), F.col("b.containment").alias("containment"))
