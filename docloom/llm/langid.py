@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import functools
-import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +23,12 @@ SCRIPTS = (
     (0x1100, 0x11FF, "hangul"), (0xAC00, 0xD7AF, "hangul"), (0x3040, 0x30FF, "kana"), (0x3400, 0x9FFF, "han"),
 )
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 GRAMS = (1, 2, 3)
 #: Documents of each language that the counts are taken from, about (the bound of the training sample).
 TRAIN_PER_LANG = 600
+#: Languages that are learned at most: those with the most labelled documents (ties: the first by name).
+MAX_LANGS = 200
 #: Nats that a change of language costs, and the weight of a gram that was never seen.
 SWITCH, SMOOTH = 6.0, 0.5
 CACHE_SIZE = 200_000
@@ -97,10 +99,11 @@ class LanguageModel:
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         return self.rows[size][np.where(known[at] == keys, at, len(known))]
 
-    def score(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Letters of each chunk, and its score for each language (zeros: it says nothing)."""
+    def score(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Letters of each chunk, how many of them are in words of a script that some language uses, and the chunk's score
+        for each language (zeros: it says nothing)."""
         n = len(self.langs)
-        letters = np.zeros(len(chunks), dtype=np.int64)
+        letters, heard = np.zeros((2, len(chunks)), dtype=np.int64)
         out = np.zeros((len(chunks), n))
         words, owner = [], []
         for k, chunk in enumerate(chunks):
@@ -108,11 +111,11 @@ class LanguageModel:
             words += found
             owner += [k] * len(found)
         if not words:
-            return letters, out
+            return letters, heard, out
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         np.add.at(letters, owner, sizes)
         if not n:
-            return letters, out
+            return letters, heard, out
         text = "^" + "^".join(words) + "^"
         codes, where = np.unique(np.frombuffer(text.encode("utf-32-le"), dtype="<u4"), return_inverse=True)
         c = np.array([0 if x == ord("^") else self._number(chr(x)) for x in codes.tolist()], dtype=np.int64)[where]
@@ -129,8 +132,9 @@ class LanguageModel:
         own -= own.max(axis=1, keepdims=True)
         own = np.where(allowed, own, own.min(axis=1, keepdims=True) - 20.0)
         own[~allowed.any(axis=1)] = 0.0
+        np.add.at(heard, owner, sizes * allowed.any(axis=1))
         np.add.at(out, owner, own)
-        return letters, out
+        return letters, heard, out
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = TRAIN_PER_LANG) -> LanguageModel:
@@ -138,10 +142,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     About ``per_lang`` documents of each language are taken, by a threshold on the hash of their id that the
     language's count sets: no sort, and the same documents on every run. Grams are counted on the cluster;
-    what comes back is the table of grams, which the sample bounds.
+    what comes back is the table of grams, which the sample bounds. Of more than ``MAX_LANGS`` labels the most frequent
+    are learned. Rows repeated under one id are all taken or all left out; a null id counts as the empty text; without a
+    labelled row nothing is learned.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & (bucket(id_col) != 0)).where(F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
+    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().sort(F.desc("count"), lang_col).limit(MAX_LANGS).collect()}
     if not sizes:
         return LanguageModel({})
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, per_lang / n)))])
@@ -230,53 +236,57 @@ class Labeller:
         self.size = 1  # row 0: a word that says nothing
         self.scores = np.zeros((1024, len(self.model.langs)))
         self.letters = np.zeros(1024, dtype=np.int64)
+        self.heard = np.zeros(1024, dtype=np.int64)
 
     def _learn(self, chunks: list[str]) -> None:
-        letters, scores = self.model.score(chunks)
+        letters, heard, scores = self.model.score(chunks)
         says = letters > 0
         n = int(says.sum())
         while self.size + n > len(self.letters):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        self.scores[self.size : self.size + n], self.letters[self.size : self.size + n] = scores[says], letters[says]
+            self.heard = np.concatenate([self.heard, np.zeros_like(self.heard)])
+        at = slice(self.size, self.size + n)
+        self.scores[at], self.letters[at], self.heard[at] = scores[says], letters[says], heard[says]
         self.index.update(zip(chunks, np.where(says, self.size - 1 + np.cumsum(says), 0).tolist(), strict=True))
         self.size += n
 
-    def label(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text: the language (its index) of every word, and the letters of every word."""
+    def label(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text: the language (its index) of every word, its letters, and those of a script in use."""
         if len(self.index) > CACHE_SIZE:
             self._reset()
         words = [t.split() if t else [] for t in texts]
         self._learn([w for w in {w for ws in words for w in ws} if w not in self.index])
         ids = [np.fromiter(map(self.index.__getitem__, ws), dtype=np.int64, count=len(ws)) for ws in words]
-        scores, letters = self.scores, self.letters
+        scores, letters, heard = self.scores, self.letters, self.heard
         if not self.model.langs:
-            return [(np.zeros(len(x), dtype=np.int64), letters[x]) for x in ids]
+            return [(np.zeros(len(x), dtype=np.int64), letters[x], heard[x]) for x in ids]
         flat, firsts, counts = _blocks(ids)
         labels = viterbi(scores, flat, firsts, counts)
         out, at = [], 0
         for x, n in zip(ids, counts, strict=True):
-            out.append((labels[at : at + n].ravel()[: len(x)].astype(np.int64), letters[x]))
+            out.append((labels[at : at + n].ravel()[: len(x)].astype(np.int64), letters[x], heard[x]))
             at += n
         return out
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-        """Language, score and spans (first word, end, language) of each text.
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, list[tuple[int, int, str]]]]:
+        """Language, score, support and spans (first word, end, language) of each text.
 
         The language is the one with the most letters in its spans (ties: the first by name); the score is
-        its share of all letters. Without a letter, or without a model, the language is ``und`` and the score 0.
+        its share of all letters; the support is the share of letters in words of a script that a learned language uses.
+        Without a letter, or without a model, the language is ``und`` and score and support are 0.
         """
         out = []
-        for labels, letters in self.label(texts):
+        for labels, letters, heard in self.label(texts):
             total = int(letters.sum())
             if not total or not self.model.langs:
-                out.append((UNKNOWN, 0.0, []))
+                out.append((UNKNOWN, 0.0, 0.0, []))
                 continue
             mass = np.bincount(labels, weights=letters, minlength=len(self.model.langs))
             cut = np.concatenate([[0], np.flatnonzero(np.diff(labels)) + 1, [len(labels)]])
             spans = [(int(a), int(b), self.model.langs[labels[a]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
             k = int(mass.argmax())
-            out.append((self.model.langs[k], float(mass[k] / total), spans))
+            out.append((self.model.langs[k], float(mass[k] / total), float(heard.sum() / total), spans))
         return out
 
 
@@ -291,16 +301,19 @@ def _labeller(key: str, shared) -> Labeller:
     return _LABELLERS[key]
 
 
-def language_id(docs: DataFrame, model: LanguageModel, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score", spans_col: str = "lang_spans") -> DataFrame:
-    """The input with language, score and spans of every whole text (columns of these names are replaced).
+def language_id(
+    docs: DataFrame, model: LanguageModel, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score", support_col: str = "lang_support", spans_col: str = "lang_spans"
+) -> DataFrame:
+    """The input with language, score, support and spans of every whole text (columns of these names are replaced).
 
-    Spans are ``array<struct<first int, end int, lang string>>`` in words. Null and letterless texts are ``und``.
+    Spans are ``array<struct<first int, end int, lang string>>`` in words. Null, empty and letterless texts (a letter is
+    ``\\p{L}``) are ``und``. Every row is judged by its text alone, repeated rows alike; an empty table gives an empty result.
     """
     shared = ship(docs.sparkSession).sparkContext.broadcast(model)
 
     key = uuid.uuid4().hex
 
-    @F.pandas_udf("struct<lang:string,score:double,spans:array<struct<first:int,end:int,lang:string>>>")
+    @F.pandas_udf("struct<lang:string,score:double,support:double,spans:array<struct<first:int,end:int,lang:string>>>")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         labeller = _labeller(key, shared)
         for s in texts:
@@ -308,10 +321,11 @@ def language_id(docs: DataFrame, model: LanguageModel, text_col: str = "text", p
             rows = []
             for i in range(0, len(values), 1000):
                 rows += labeller.predict(values[i : i + 1000])
-            yield pd.DataFrame({"lang": [r[0] for r in rows], "score": [r[1] for r in rows], "spans": [[{"first": a, "end": b, "lang": x} for a, b, x in r[2]] for r in rows]})
-
-    kept = [c for c in docs.columns if c not in (pred_col, score_col, spans_col)]
-    return docs.select(*[F.col(f"`{c}`") for c in kept], predict(F.col(text_col)).alias("__predicted")).select(
-        *[F.col(f"`{c}`") for c in kept],
-        F.col("__predicted.lang").alias(pred_col), F.col("__predicted.score").alias(score_col), F.col("__predicted.spans").alias(spans_col),
-    )
+            spans = [[{"first": a, "end": b, "lang": x} for a, b, x in r[3]] for r in rows]
+            yield pd.DataFrame({"lang": [r[0] for r in rows], "score": [r[1] for r in rows], "support": [r[2] for r in rows], "spans": spans})
+
+    new = {pred_col: "lang", score_col: "score", support_col: "support", spans_col: "spans"}
+    kept = [c for c in docs.columns if c not in new]
+    row, out = F.struct(*[F.col(f"`{c}`") for c in kept]), predict(F.col(text_col))
+    both = docs.select(row.alias("row"), out.alias("out"))
+    return both.select(*[F.col("row").getField(c).alias(c) for c in kept], *[F.col("out").getField(f).alias(c) for c, f in new.items()])

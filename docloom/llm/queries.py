@@ -63,7 +63,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = (_lang.bucket("doc_id") == 0).alias("held_out")
-    return _lang.language_id(docs, _lang.fit(docs)).select("doc_id", held_out, "lang_pred", "score", "lang_spans")
+    return _lang.language_id(docs, _lang.fit(docs)).select("doc_id", held_out, "lang_pred", "score", "lang_support", "lang_spans")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
