@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,10 +22,15 @@ WORDS, SIMILARITY = 5, 0.8
 #: similarity 0.8, 8 in a million agree in none.
 SKETCHES = 64
 #: The least minimum of each sketch agrees with probability s, so 51 of 64 are expected at 0.8, with a deviation of 3.2.
-#: Pairs with fewer than 39 (1 in 16,000 of similarity 0.8) are not aligned.
-AGREE = 39
+#: Pairs with fewer than 35 (2 in a million of similarity 0.8) are not aligned.
+AGREE = 35
+#: Hubs of a bucket in the first wave after the first hub; every further wave has twice as many.
+HUBS = 64
 #: (below so many shingles, minima per sketch): short texts have few shingles to draw from.
 SIZES = ((16, 2), (48, 4), (1 << 62, 8))
+#: Classes of more documents than this, and than one in 2 ** 20 of all, have their sizes sent to every executor: at most
+#: 2 ** 20 of them.
+LARGE_CLASS = 256
 #: Texts of candidates up to this many characters in all are sent to every executor; more are joined to the pairs.
 MAX_BROADCAST = 16 << 20
 _WORD = re.compile(r"\w+")
@@ -218,21 +224,70 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("u", "v", "text_u", "text_v").mapInPandas(run, "u bigint, v bigint").distinct()
 
 
+def _least(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """One row for each ``by``: the least in ``order``, whatever the order of the rows."""
+    rest = [c for c in df.columns if c not in by and c not in order]
+    return df.groupBy(*by).agg(F.min(F.struct(*order, *rest)).alias("x")).select(*by, "x.*")
+
+
+def _waves(state: DataFrame, tested: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Links between classes that the first hubs did not find.
+
+    ``state``: the members of buckets of several classes (``key, id, sign, meets, n, shared, keys, component, done``;
+    ``done`` marks the first hub). In every wave each bucket takes new hubs among the members outside its largest class,
+    and they are compared with all members of other classes; what merges is one class from then on. The waves end when
+    every bucket is one class or every member outside its largest class has been a hub, so no candidate pair between
+    classes stays untested. A wave's pairs are linear in the members, and the hubs double, so waves are few.
+    """
+    more: list[DataFrame] = []
+    wave = 0
+    while True:
+        classes = state.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
+        main = classes.groupBy("key").agg(F.max(F.struct("members", F.bitwise_not("component").alias("r"))).alias("main"), F.count(F.lit(1)).alias("classes"))
+        main = main.where("classes > 1").select("key", F.bitwise_not("main.r").alias("main"))
+        current = checkpoint(state.join(main, "key").withColumn("outside", F.col("component") != F.col("main")).drop("main"))
+        slot = F.pmod(F.xxhash64("id", F.lit(wave)), F.lit(HUBS << wave))
+        hubs = current.where("outside AND NOT done").groupBy("key", slot.alias("slot")).agg(F.max(F.struct("meets", F.bitwise_not("id").alias("r"))).alias("hub"))
+        hubs = checkpoint(hubs.select("key", F.bitwise_not("hub.r").alias("id"), F.lit(True).alias("now")))
+        if hubs.isEmpty():
+            break
+        marked = checkpoint(current.join(hubs, ["key", "id"], "left").withColumn("now", F.coalesce("now", F.lit(False))))
+        column = lambda c, side: F.col(c).alias(f"{c}_{side}")
+        of = lambda df, side: df.select("key", F.col("id").alias(side), *[column(c, side) for c in ("sign", "n", "shared", "keys", "component", "now")])
+        left, right = of(marked.where("now"), "u"), of(marked.where("NOT done"), "v")
+        # Two texts have no more shingles in common than either shares with any other text in play.
+        possible = F.least("shared_u", "shared_v") >= SIMILARITY / (1 + SIMILARITY) * (F.col("n_u") + F.col("n_v")) - 1e-6
+        apart = (F.col("component_u") != F.col("component_v")) & (~F.col("now_v") | (F.col("u") < F.col("v")))
+        once = left["key"] == F.array_min(F.array_intersect("keys_u", "keys_v"))  # a pair that shares buckets is met in one of them
+        fit = apart & possible & once & (_agreement(F.col("sign_u"), F.col("sign_v")) >= AGREE)
+        pairs = left.join(right, (left["key"] == right["key"]) & fit).select("u", "v").distinct()
+        links = checkpoint(_verified(checkpoint(pairs.join(tested, ["u", "v"], "left_anti")), texts))
+        state = marked.withColumn("done", F.col("done") | F.col("now")).drop("now", "outside")
+        if not links.isEmpty():
+            more.append(links)
+            of_id = marked.select("id", "component").distinct()
+            ends = links.join(of_id.select(F.col("id").alias("u"), F.col("component").alias("a")), "u").join(of_id.select(F.col("id").alias("v"), F.col("component").alias("b")), "v")
+            merged = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("id").alias("component"), F.col("component").alias("into"))
+            state = state.join(merged, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into")
+        state = checkpoint(state)
+        wave += 1
+    return reduce(DataFrame.unionByName, more) if more else None
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, class_id``: one row per id that has words; the class id is the least id of the class.
 
     1. Texts of the same words are one node, the least id's.
     2. Nodes that share a sketch meet in its bucket. In each bucket everything is first compared with the bucket's
        hub, the member that meets most others, which joins a group of any size with as many pairs as members.
-    3. Members that this leaves outside their hub's class are compared with all members of other classes in
-       their buckets, so no candidate pair between classes stays untested. Two texts have no more shingles in common
-       than either shares with any other text in play; where that bound is too low, the pair cannot be similar.
+    3. Buckets that still hold several classes take more hubs in waves, until no candidate pair between classes is
+       untested (``_waves``).
     Before texts are fetched for alignment, pairs whose least minima agree too rarely for the similarity are left out.
     """
     found = checkpoint(sketches(docs, id_col, text_col))
     words = found.groupBy("h1", "h2").agg(F.min("id").alias("node"))
     members = found.select("id", "h1", "h2").distinct().join(words, ["h1", "h2"]).select("id", "node").distinct()
-    nodes = found.join(words.select(F.col("node").alias("id"), "h1", "h2"), ["id", "h1", "h2"]).dropDuplicates(["id", "size"])
+    nodes = _least(found.join(words.select(F.col("node").alias("id"), "h1", "h2"), ["id", "h1", "h2"]), ["id", "size"], ["h1", "h2"]).drop("h1", "h2")
     spread = nodes.select("id", "size", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = checkpoint(spread.join(shared, "key"))
@@ -245,26 +300,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct()
     )
     texts = docs.select(doc_key(id_col).alias("id"), F.col(text_col).alias("text")).join(signs.select("id").distinct(), "id", "left_semi")
-    texts = checkpoint(texts.dropDuplicates(["id"]))
+    texts = checkpoint(_least(texts.where(F.col("text").isNotNull()).withColumn("h", F.xxhash64("text")), ["id"], ["h"]).drop("h"))
     links = checkpoint(_verified(to_hub, texts))
     first = components(links)
     classed = rows.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = classed.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed"))
-    of_key = hubs.select("key", "hub").join(mixed, "key").join(first.select(F.col("id").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
-    placed = classed.join(of_key, "key")
-    placed = checkpoint(placed.select("key", "id", "sign", "component", "mixed", (F.col("component") != F.coalesce("hub_component", "hub")).alias("outside"), (F.col("id") == F.col("hub")).alias("is_hub")))
-    placed = placed.where("mixed")  # buckets of one class are done
-    bounds = checkpoint(_shared_counts(texts.join(placed.select("id").distinct(), "id", "left_semi")))
-    own = placed.groupBy("id").agg(F.collect_set("key").alias("keys"))  # at most two sizes of sketch
-    placed = placed.join(bounds, "id").join(own, "id")
-    left = placed.where("outside").select("key", F.col("id").alias("u"), F.col("sign").alias("sign_u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("shared").alias("su"), F.col("keys").alias("ku"))
-    right = placed.where("NOT is_hub").select("key", F.col("id").alias("v"), F.col("sign").alias("sign_v"), F.col("component").alias("cv"), F.col("outside").alias("ov"), F.col("n").alias("nv"), F.col("shared").alias("sv"), F.col("keys").alias("kv"))
-    possible = F.least("su", "sv") >= SIMILARITY / (1 + SIMILARITY) * (F.col("nu") + F.col("nv")) - 1e-6
-    fit = (F.col("cu") != F.col("cv")) & (~F.col("ov") | (F.col("u") < F.col("v"))) & possible & (_agreement(F.col("sign_u"), F.col("sign_v")) >= AGREE)
-    once = left["key"] == F.array_min(F.array_intersect("ku", "kv"))  # a pair that shares buckets is met in one of them
-    rest = left.join(right, (left["key"] == right["key"]) & fit & once).select("u", "v").distinct()
-    more = _verified(checkpoint(rest.join(to_hub, ["u", "v"], "left_anti")), texts)
-    final = checkpoint(components(links.unionByName(more)))
+    mixed = classed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    of_key = mixed.join(hubs.select("key", "hub"), "key")
+    placed = checkpoint(classed.join(of_key, "key").select("key", "id", "sign", "meets", "component", (F.col("id") == F.col("hub")).alias("done")))
+    bounds = _shared_counts(texts.join(placed.select("id").distinct(), "id", "left_semi"))
+    own = placed.groupBy("id").agg(F.collect_set("key").alias("keys"))  # at most three sizes of sketch
+    both = to_hub.unionByName(to_hub.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    more = _waves(checkpoint(placed.join(checkpoint(bounds), "id").join(own, "id")), both, texts)
+    final = checkpoint(components(links if more is None else links.unionByName(more)))
     out = members.join(final.select(F.col("id").alias("node"), "component"), "node", "left")
     return out.groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("class_id"))
 
@@ -275,13 +322,22 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Two texts are linked if the shingles of five words (letters, digits and _, lower case) that align are at least
     0.8 of all; classes are what links connect; the row of the least id of a class is kept. Null, empty and
     wordless texts are classes of their own and kept. A null id counts as the smallest, and rows repeated under
-    one id are one document.
+    one id are one document: where their texts differ, the class is the least of theirs, and one of the texts, always the
+    same, is compared. An empty table gives an empty result.
     """
     names = [c for c in docs.columns if c not in ("class_id", "class_size", "kept")]
-    classes = near_classes(docs, id_col, text_col)
-    sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
+    classes = checkpoint(near_classes(docs, id_col, text_col))
+    sizes = checkpoint(classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).where("class_size > 1"))
+    # Rows of large classes take the size from a broadcast and are dealt by their own ids, so that no class is one task; the
+    # other classes are joined.
+    many = max(LARGE_CLASS, classes.count() >> 20)
+    large = sizes.where(F.col("class_size") > many).select("class_id", F.col("class_size").alias("large_size"))
+    dealt = classes.join(F.broadcast(large), "class_id", "left").withColumn("apart", F.when(F.col("large_size").isNotNull(), F.col("id")))
+    small = sizes.where(F.col("class_size") <= many).select("class_id", F.col("class_size").alias("small_size"), F.lit(None).cast("long").alias("apart"))
+    same = (dealt["class_id"] == small["class_id"]) & dealt["apart"].eqNullSafe(small["apart"])
+    sized = dealt.join(small, same, "left").select("id", dealt["class_id"], F.coalesce("large_size", "small_size").alias("class_size"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), doc_key(id_col).alias("id"))
-    joined = row.join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id")).join(sizes, "class_id", "left")
+    joined = row.join(sized, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
     return joined.select(
         *[F.col("row").getField(c).alias(c) for c in names],
         F.when(F.col("class_id") != MIN_LONG, F.col("class_id")).alias("class_id"),
