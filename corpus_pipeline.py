@@ -20,16 +20,24 @@ def _like(out: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select(*[(counted if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
+#: Documents of a language have at least this share of their letters in words of a script that a learned language uses,
+#: and at least this share of their letters in the spans of the language predicted.
+LEAST_SUPPORT, LEAST_SCORE = 0.5, 0.3
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter.
+    """Drops documents without a language: null texts and texts without a letter, texts most of whose letters are of
+    scripts that no learned language uses, and texts of many languages with no more than ``LEAST_SCORE`` of any.
 
-    Where no document is labelled there is nothing to learn from, and only the same documents go.
+    Where no document is labelled there is nothing to learn from, and only the letterless go. Repeated rows fare alike.
     """
     model = langid.fit(docs)
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    out = langid.language_id(docs, model, pred_col="__lang", score_col="__score", spans_col="__spans")
-    return _like(out.where(F.col("__lang") != langid.UNKNOWN), docs)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    out = langid.language_id(row, model)
+    spoken = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_support") >= LEAST_SUPPORT) & (F.col("score") >= LEAST_SCORE)
+    return out.where(spoken).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
