@@ -44,6 +44,8 @@ ELSEWHERE = frozenset("has with no without is not".split())
 #: Longest group that is looked for as a repetition, and the nodes of a wrapper beyond which it keeps only those that
 #: all pages have. Optional nodes tell no template text, so what is dropped decides nothing.
 PERIOD, MAX_NODES = 12, 4096
+#: Partial wrappers of a host that one task merges, about.
+FAN = 16
 #: Longest text that stands for itself in a wrapper (longer ones by a digest), and the different main contents of a host's pages from which template texts are told.
 PLAIN_CHARS, LEAST_PAGES = 32, 3
 NOT_NOISE = ("#a", "#o")
@@ -71,14 +73,15 @@ def _noise(name: str, attrs: str, zone: str) -> tuple[bool, bool]:
 class Page:
     """The token stream of one page: symbols of tags and of texts, with the texts beside them.
 
-    A text's symbol tells where it stands: ``#a`` in the article, ``#n`` in noise, ``#o`` elsewhere.
+    A text's symbol tells where it stands: ``#a`` in the article, ``#n`` in noise, ``#o`` elsewhere, and the element that
+    holds it. With that, and the element in the symbol of its end, only places of one kind are aligned.
     """
 
     def __init__(self, source: str) -> None:
         self.symbols: list[str] = []
         self.texts: list[tuple[int, str]] = []  # block number and decoded text, by text symbol
         self._block = 0
-        stack: list[tuple[str, str]] = []  # name, zone inside
+        stack: list[tuple[str, str, str]] = []  # name, zone inside, symbol
         at, n = 0, len(source)
         low: str | None = None
         while at < n:
@@ -103,7 +106,7 @@ class Page:
 
     def main(self) -> list[int]:
         """Numbers of the texts in the article; of those outside noise, where there is no article."""
-        zones = [s for s in self.symbols if s[0] == "#"]
+        zones = [s[:2] for s in self.symbols if s[0] == "#"]
         zone = "#a" if "#a" in zones else "#o"
         return [k for k, z in enumerate(zones) if z == zone]
 
@@ -112,7 +115,7 @@ class Page:
             self._block += 1
         self.symbols.append(s)
 
-    def _open(self, name: str, attrs: str, stack: list[tuple[str, str]]) -> None:
+    def _open(self, name: str, attrs: str, stack: list[tuple[str, str, str]]) -> None:
         if name in CLOSES_P:
             self._implied("p", stack, BLOCK - {"p"})
         if name in SAME:
@@ -125,14 +128,15 @@ class Page:
             elif name in MAIN or main:
                 zone = "a"
         words = sorted({w for m in _ATTR.finditer(attrs) if m[1].lower() != "id" for w in _WORDS.findall((m[2] or m[3] or m[4] or "").lower())})
-        self._symbol(".".join([f"<{name}", *words]), name)
+        symbol = ".".join([f"<{name}", *words])
+        self._symbol(symbol, name)
         if name == "br" and self.texts:  # a line break is white space
             block, text = self.texts[-1]
             self.texts[-1] = (block, text + " ")
         if name not in VOID:
-            stack.append((name, zone))
+            stack.append((name, zone, symbol))
 
-    def _implied(self, names: str, stack: list[tuple[str, str]], border: frozenset[str]) -> None:
+    def _implied(self, names: str, stack: list[tuple[str, str, str]], border: frozenset[str]) -> None:
         wanted = names.split()
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in wanted:
@@ -143,21 +147,23 @@ class Page:
             if stack[i][0] in border:
                 return
 
-    def _close(self, name: str, stack: list[tuple[str, str]]) -> None:
+    def _close(self, name: str, stack: list[tuple[str, str, str]]) -> None:
+        symbol = f"<{name}"
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == name:
+                symbol = stack[i][2]
                 del stack[i:]
                 break
-        self._symbol(f"</{name}", name)
+        self._symbol(f"</{symbol[1:]}", name)
 
-    def _text(self, raw: str, stack: list[tuple[str, str]]) -> None:
+    def _text(self, raw: str, stack: list[tuple[str, str, str]]) -> None:
         if not raw or raw.isspace():
             if raw and self.texts:
                 block, text = self.texts[-1]
                 self.texts[-1] = (block, text + " ")
             return
-        zone = stack[-1][1] if stack else "o"
-        self.symbols.append(f"#{zone}")
+        zone, symbol = stack[-1][1:] if stack else ("o", "")
+        self.symbols.append(f"#{zone}{symbol}")
         self.texts.append((self._block, _html.unescape(raw)))
 
 
@@ -396,8 +402,12 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     """``host, wrapper``: one row per host.
 
     Every task folds its own pages into one wrapper for each host (a structure that it has met before costs no
-    alignment), so the pages themselves never move. The partial wrappers of a host meet in two steps, by
-    host and salt and then by host: a host with a third of all pages is merged by many tasks.
+    alignment), so the pages themselves never move. The partial wrappers of a host meet in a tree, about ``FAN`` at a
+    time: a host with a third of all pages is merged by many tasks, in as many rounds as the logarithm of its parts.
+
+    Equal alignments are broken in a fixed way (the earlier place first), and partial wrappers are merged in the order of
+    their text, so a task that runs again gives the same. Merging is not associative, though: another split of the
+    table into tasks may align optional groups otherwise.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -429,15 +439,25 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
         return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [out.dump()]})
 
     columns = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    partial = columns.mapInPandas(fold, "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(32)))
-    salted = partial.groupBy("host", "salt").applyInPandas(merge, "host string, wrapper string")
-    return salted.groupBy("host").applyInPandas(merge, "host string, wrapper string")
+    schema = "host string, wrapper string"
+    parts = checkpoint(columns.mapInPandas(fold, schema))
+    most = parts.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    salts = [1]
+    while salts[0] * FAN < most:
+        salts.insert(0, salts[0] * FAN)
+    for n in salts:
+        parts = parts.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(n))).applyInPandas(merge, schema)
+    return parts
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text") -> DataFrame:
     """The input with ``text_col``, the main text of the whole page (replaced if it is there).
 
-    Null or empty html gives an empty text. Pages without a host share the host "".
+    Every page is aligned with its host's wrapper; texts in places that all pages of the host have alike are template,
+    and the slots that vary are the text. Names of elements and classes tell which slots are none of the article's.
+
+    Null or empty html gives an empty text. Pages without a host share the host "". Every row is read, repeated ones alike
+    (and copies of a page tell a wrapper nothing more); an empty table gives an empty result.
     """
     spark = ship(pages.sparkSession)
     wrappers = infer_wrappers(pages, url_col, html_col).select("host", "wrapper")

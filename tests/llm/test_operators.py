@@ -390,7 +390,7 @@ def test_wrapper_merge_makes_optional_and_repeated_groups():
     for s in ("<ul><li>a</li><li>b</li></ul><p>x</p>", "<ul><li>c</li></ul><i>y</i><p>x</p>"):
         w = w.merge(html_extract.Wrapper.of(html_extract.Page(s)))
     kinds = [(i[0] if isinstance(i[0], str) else "group", i[1], i[2]) for i in w.items]
-    assert ("group", False, []) in kinds and ("<i", True, None) in kinds and ("#o", False, ["x"]) in kinds
+    assert ("group", False, []) in kinds and ("<i", True, None) in kinds and ("#o<p", False, ["x"]) in kinds
     assert html_extract.Wrapper.load(w.dump()).items == w.items
 
 
@@ -411,6 +411,34 @@ def test_wrappers_judge_articles_too():
     assert _read(copies) == ["the same article"] * 5  # what changes around it makes no template of an article
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_wrappers_against_brute_force(seed):
+    """Places that can be told apart: a text is template if every page has its place, with the same text; nothing else is."""
+    r = random.Random(seed)
+    places = [(f"place{i}", r.random() < 0.4, r.choice([1.0, 1.0, 0.6])) for i in range(12)]  # class, constant, how often it is there
+    article = r.random() < 0.5
+    pages, texts = [], []
+    for k in range(r.randint(3, 9)):
+        here = [(c, f"same {c}" if same else f"own {k} {c}") for c, same, share in places if r.random() < share] + [("last", f"own {k}")]
+        body = "".join(f"<div class='{c}'>{t}</div>" for c, t in here)
+        pages.append(f"<body><nav><a>n{k}</a></nav>{'<article>' + body + '</article>' if article else body}<footer>f</footer></body>")
+        texts.append(here)
+    fixed = set.intersection(*[set(t) for t in texts])
+    assert _read(pages) == ["\n\n".join(t for c, t in here if (c, t) not in fixed) for here in texts]
+    # Without the wrapper the template texts stay: it is what tells them.
+    plain = [html_extract.main_text(html_extract.Page(p)) for p in pages]
+    assert plain == ["\n\n".join(t for _, t in here) for here in texts] and (not fixed or plain != _read(pages))
+
+
+def test_wrappers_meet_in_a_tree(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 2}.x/", f"<div>same</div><p>own {i}</p>" + ("<i>opt</i>" if i % 3 else "")) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(12)
+    whole = sorted((x.page_id, x.text) for x in html_extract.extract(pages).collect())
+    monkeypatch.setattr(html_extract, "FAN", 2)
+    assert sorted((x.page_id, x.text) for x in html_extract.extract(pages).collect()) == whole
+    assert [t for _, t in whole] == [f"own {i}" + ("\n\nopt" if i % 3 else "") for i in range(60)]
+
+
 def test_full_wrappers_make_no_template_of_a_page():
     r = random.Random(4)
     long = lambda i, n: "<div>Site of all</div>" + "".join(f"<p class='c{r.randrange(10**6)}'>own {i} {k}</p>" for k in range(n))
