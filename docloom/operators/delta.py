@@ -6,6 +6,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.plans.compiler import compile_filter
 
@@ -50,21 +51,45 @@ def _keyed(df: DataFrame, pk: str, **labels: str | int) -> DataFrame:
     return df.select(F.col(f"`{pk}`").alias("k"), _row(df), *[F.lit(v).alias(n) for n, v in labels.items()])
 
 
+def _has(t: T.DataType, kinds: tuple[type, ...]) -> bool:
+    if isinstance(t, T.StructType):
+        return any(_has(f.dataType, kinds) for f in t.fields)
+    if isinstance(t, T.ArrayType):
+        return _has(t.elementType, kinds)
+    return isinstance(t, kinds) or isinstance(t, T.MapType) and _has(t.valueType, kinds)
+
+
+def comparable(c: Column, t: T.DataType) -> Column:
+    """A value that is equal where the row's is: maps at any depth become sorted entries, and a Variant its text, which
+    has its keys in order."""
+    if not _has(t, (T.MapType, T.VariantType)):
+        return c
+    if isinstance(t, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[comparable(c.getField(f.name), f.dataType).alias(f.name) for f in t.fields]))
+    if isinstance(t, T.ArrayType):
+        return F.transform(c, lambda e: comparable(e, t.elementType))
+    if isinstance(t, T.MapType):
+        return F.sort_array(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("key"), comparable(e["value"], t.valueType).alias("value"))))
+    return F.to_json(c)
+
+
+def labelled_diff(current: DataFrame, previous: DataFrame, pk: str) -> DataFrame:
+    """``k, row, op``: every key that differs with its new row (null where it is gone) and insert, update or remove, in
+    one plan with one shuffle of both sides by the key. Structs are compared field by field, maps at any depth by their
+    sorted entries, Variants by their canonical text."""
+    both = _keyed(current, pk).join(_keyed(previous.select(*current.columns), pk).withColumnRenamed("row", "old"), "k", "full_outer")
+    value = lambda s: comparable(F.col(s), current.schema)
+    op = F.when(F.col("old").isNull(), "insert").when(F.col("row").isNull(), "remove").when(~value("row").eqNullSafe(value("old")), "update")
+    return both.select("k", "row", op.alias("op")).where(F.col("op").isNotNull())
+
+
 def diff(current: DataFrame, previous: DataFrame | None, pk: str, created_at: int | str | None = None) -> Delta:
-    """What turns ``previous`` into ``current``: one shuffle of both by the key. Structs are compared field by field,
-    maps by their sorted entries."""
+    """What turns ``previous`` into ``current``, from ``labelled_diff``; each part is a filter on it."""
     if previous is None:
         return Delta(current, current.limit(0), None, current.select(pk).limit(0), created_at)
-    both = _keyed(current, pk).join(_keyed(previous.select(*current.columns), pk).withColumnRenamed("row", "old"), "k", "full_outer")
-    comparable = lambda s: F.struct(*[F.array_sort(F.map_entries(s[c])) if t.startswith("map") else s[c] for c, t in current.dtypes])
-    rows = lambda d: d.select("row.*")
-    return Delta(
-        rows(both.where(F.col("old").isNull())),
-        rows(both.where(F.col("row").isNotNull() & F.col("old").isNotNull() & ~comparable(F.col("row")).eqNullSafe(comparable(F.col("old"))))),
-        None,
-        both.where(F.col("row").isNull()).select(F.col("k").alias(pk)),
-        created_at,
-    )
+    both = labelled_diff(current, previous, pk)
+    of = lambda op: both.where(F.col("op") == op)
+    return Delta(of("insert").select("row.*"), of("update").select("row.*"), None, of("remove").select(F.col("k").alias(pk)), created_at)
 
 
 def check_delta(delta: Delta, pk: str) -> None:
@@ -195,13 +220,14 @@ def reduce(deltas: list[Delta], pk: str) -> Delta:
     return Delta(rows("insert"), rows("update"), None if pure else rows("upsert"), net.where("removed").select(F.col("k").alias(pk)), latest)
 
 
-def constrain(delta: Delta, f: dict, pk: str) -> Delta:
-    """The change set seen through a filter: modified rows that do not match are removed instead."""
+def constrain(delta: Delta, f: dict, pk: str, doc: str | None = None) -> Delta:
+    """The change set seen through a filter: modified rows that do not match are removed instead. With ``doc``, the filter
+    speaks of the documents in that column."""
     parts = {n: p for n in ("insert", "update", "upsert") if (p := getattr(delta, n)) is not None}
     gone = delta.remove_keys
     kept = {}
     for name, part in parts.items():
-        hit = compile_filter(f, part.schema)
+        hit = compile_filter(f, part.schema, doc)
         kept[name] = part.where(hit)
         out = part.where(~hit).select(pk)
         gone = out if gone is None else gone.unionByName(out)

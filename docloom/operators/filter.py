@@ -31,7 +31,7 @@ def filter_documents(spark: SparkSession, documents: list[dict], f: dict) -> lis
     """Plain documents through the Variant engine, in their order."""
     check_filter(f)
     if not all(isinstance(d, dict) for d in documents):
-        raise TypeError("only plain objects can be matched")
+        raise TypeError("only plain documents can be matched")
     rows = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(documents)], "i long, j string")
     kept = filter_rows(rows.select("i", F.parse_json("j").alias("doc")), f, doc="doc").select("i").collect()
     return [documents[i] for i in sorted(r.i for r in kept)]

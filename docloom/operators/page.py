@@ -129,8 +129,9 @@ def check_boundary_value(v: Any, dtype: T.DataType) -> str | None:
 def _parts(df: DataFrame, key: str, doc: str | None) -> tuple[list[Column], Any]:
     """The columns that order a key one after the other, and how a literal becomes their literals.
 
-    A typed key is one column. Doubles that may not be finite, and Variants, take three: numbers come before
-    what is ordered as text (Booleans, objects, infinities), then by number, then by text.
+    A typed key is one column. Doubles that may not be finite take three: numbers come before what is ordered as text
+    (Booleans, structs, infinities), then by number, then by text. Variants take a fourth, the whole number behind a
+    double, which tells integers beyond 2 ** 53 apart.
     """
     segments = parse_path(key)
     if doc is not None:
@@ -142,7 +143,9 @@ def _parts(df: DataFrame, key: str, doc: str | None) -> tuple[list[Column], Any]
         number = F.when(value.is_type("number"), F.try_variant_get(c, "$", "double"))
         text = F.when(value.is_type("string"), F.try_variant_get(c, "$", "string")).when(~is_null & number.isNull(), F.to_json(c))
         bracket = F.when(~is_null, F.when(number.isNotNull(), 0).otherwise(1))
-        return [bracket, number, text], _three
+        exact = F.when(value.is_type("number"), F.try_variant_get(c, "$", "decimal(38,0)"))
+        whole = F.when(F.abs(number) >= float(2**53), F.coalesce(exact, number.try_cast("decimal(38,0)")))
+        return [bracket, number, F.when(number.isNotNull(), F.coalesce(whole, F.lit(0).cast("decimal(38,0)"))), text], _four
     found = resolve(key, df.schema)
     if not found.known:
         raise PageError([f"invalid_column: {key}"])
@@ -165,6 +168,13 @@ def _three(x: Any) -> list:
     return [F.lit(1), None, F.lit(encode_value(x))]
 
 
+def _four(x: Any) -> list:
+    bracket, number, text = _three(x)
+    if number is None:
+        return [bracket, None, None, text]
+    return [bracket, number, F.lit(str(int(x)) if abs(x) >= 2**53 and abs(x) < 10**38 else "0").cast("decimal(38,0)"), None]
+
+
 def order_columns(df: DataFrame, sort: tuple[SortKey, ...], doc: str | None = None) -> list[Column]:
     """``ORDER BY`` columns; nulls and missing values are last in both directions."""
     out = []

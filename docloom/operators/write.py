@@ -7,6 +7,7 @@ creations are flags, and one aggregation tells which action, if any, fails. Noth
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from dataclasses import dataclass
 from typing import Any
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions.paths import join_path, kind_of, parse_path, resolve
+from docloom.functions.schema import unsafe_fields
 from docloom.plans.compiler import _filter, any_of
 from docloom.plans.evaluate import deep_equal
 from docloom.plans.predicate import bad_values, is_filter, is_number
@@ -35,7 +37,7 @@ class ListRules:
 
 @dataclass(frozen=True)
 class Ddl:
-    """Rules of the root list ``"."`` and of every nested list of objects, by its path."""
+    """Rules of the root list ``"."`` and of every nested list of structs, by its path."""
 
     lists: dict[str, ListRules]
     version: int = 1
@@ -170,6 +172,18 @@ def _cleared(c: Column, dtype: T.DataType, segments: list[str]) -> Column:
     return F.when(c.isNull(), c).otherwise(_replaced(c, dtype, segments[0], value))
 
 
+def _there(c: Column, dtype: T.DataType, segments: list[str]) -> Column:
+    """Whether there is a value at a path."""
+    for i, name in enumerate(segments):
+        if isinstance(dtype, T.MapType):
+            if i == len(segments) - 1:
+                return F.coalesce(F.map_contains_key(c, name), F.lit(False))
+            c, dtype = F.try_element_at(c, F.lit(name)), dtype.valueType
+        else:
+            c, dtype = c.getField(name), dtype[name].dataType
+    return c.isNotNull()
+
+
 def _key_ok(x: Any) -> bool:
     """A usable primary key: text or number, and neither empty nor zero."""
     return not isinstance(x, bool) and isinstance(x, (str, int, float)) and bool(x)
@@ -217,7 +231,7 @@ def static_errors(payload: dict, schema: T.StructType, ddl: Ddl, scope: str = ""
     rules = ddl.rules(scope)
     if rules is None:
         return [{"type": "custom", "message": f"no rules for the list {scope!r}"}]
-    out: list[dict] = []
+    out: list[dict] = [] if scope else [{"type": "custom", "message": f"JSON cannot carry {path} ({what})"} for path, what in unsafe_fields(schema)]
     data = {"create": payload.get("data"), "update": payload.get("data"), "push": payload.get("items"), "add_to_set": payload.get("items"), "inc": payload.get("amount")}.get(verb)
     for path, what in bad_values(data):
         out.append({"type": "invalid_data_value", "data_path": path, "reason": "non_finite" if what == "non_finite" else "malformed"})
@@ -239,6 +253,8 @@ def static_errors(payload: dict, schema: T.StructType, ddl: Ddl, scope: str = ""
                 out.append({"type": "invalid_property_path", "path": path, "reason": "primary_key"})
             elif not isinstance(dtype, T.NumericType) or not is_number(payload.get("amount")):
                 out.append({"type": "custom", "message": f"{path} is no number"})
+            elif not fits(payload["amount"], dtype):
+                out.append({"type": "schema", "issues": [path]})
         elif not isinstance(dtype, T.ArrayType):
             out.append({"type": "custom", "message": f"{path} is no list"})
         elif verb == "pull":
@@ -278,11 +294,11 @@ def validate_action(action: WriteAction, schema: T.StructType, ddl: Ddl) -> list
 # One payload on one struct: its new value, whether the write breaks a rule there, and whether it changes anything.
 
 
-def _applied(c: Column, dtype: T.StructType, payload: dict, ddl: Ddl, scope: str) -> tuple[Column, Column, Column]:
+def _applied(c: Column, dtype: T.StructType, payload: dict, ddl: Ddl, scope: str) -> tuple[Column, Column | None, Column]:
     verb, rules = payload["type"], ddl.rules(scope)
     if verb == "update":
         data = payload["data"]
-        bad = ~of(c.getField(rules.primary_key), dtype[rules.primary_key].dataType).equals(data[rules.primary_key]) if rules.primary_key in data else false()
+        bad = ~of(c.getField(rules.primary_key), dtype[rules.primary_key].dataType).equals(data[rules.primary_key]) if rules.primary_key in data else None
         if payload.get("method", "merge") == "assign":
             new = F.struct(*[(literal(data[f.name], f.dataType) if f.name in data else c.getField(f.name)).alias(f.name) for f in dtype.fields])
         else:
@@ -294,14 +310,14 @@ def _applied(c: Column, dtype: T.StructType, payload: dict, ddl: Ddl, scope: str
         if verb == "inc":
             amount = payload["amount"]
             new = old if amount == 0 else F.coalesce(old, F.lit(0).cast(t)) + F.lit(amount).cast(t)
-            return _replaced(c, dtype, path, new), false(), F.lit(amount != 0)
+            return _replaced(c, dtype, path, new), None, F.lit(amount != 0)
         if verb == "push":
             items = payload["items"]
-            return _replaced(c, dtype, path, F.concat(F.coalesce(old, F.array().cast(t)), literal(items, t)) if items else old), false(), F.lit(bool(items))
+            return _replaced(c, dtype, path, F.concat(F.coalesce(old, F.array().cast(t)), literal(items, t)) if items else old), None, F.lit(bool(items))
         if verb == "pull":
             w = payload["items_where"]
             kept = F.filter(old, lambda e: ~_pulled(Typed(e, t.elementType), w))
-            return _replaced(c, dtype, path, kept), false(), old.isNotNull() & (F.size(kept) != F.size(old))
+            return _replaced(c, dtype, path, kept), None, old.isNotNull() & (F.size(kept) != F.size(old))
         by_key = payload.get("unique_by", "deep_equals") == "pk"
         key = ddl.rules(join_scope(scope, path)).primary_key if by_key else None
         items: list = []
@@ -319,10 +335,10 @@ def _applied(c: Column, dtype: T.StructType, payload: dict, ddl: Ddl, scope: str
 
         fresh = [F.when(~known(x), literal([x], t)).otherwise(F.array().cast(t)) for x in items]
         new = F.concat(base, *fresh) if fresh else old
-        return _replaced(c, dtype, path, new), false(), F.size(new) != F.size(base) if fresh else false()
+        return _replaced(c, dtype, path, new), None, F.size(new) != F.size(base) if fresh else false()
     if verb in ("set_property_undefined", "delete_property"):
-        new = _cleared(c, dtype, parse_path(payload["path"]))
-        return new, false(), ~F.to_json(F.struct(new.alias("x"))).eqNullSafe(F.to_json(F.struct(c.alias("x"))))
+        segments = parse_path(payload["path"])
+        return _cleared(c, dtype, segments), None, _there(c, dtype, segments)
     if verb == "array_scope":
         new, bad = _scoped(c, dtype, parse_path(payload["scope"]), payload["action"], ddl, join_scope(scope, payload["scope"]))
         return new, bad, true()
@@ -335,26 +351,37 @@ def _pulled(e: Typed, w: dict | list) -> Column:
     return e.is_type("object") & _filter(w, e) if e.kind == "object" else false()
 
 
-def _scoped(c: Column, dtype: T.DataType, segments: list[str], action: dict, ddl: Ddl, scope: str) -> tuple[Column, Column]:
+def _can_break(action: dict, ddl: Ddl, scope: str) -> bool:
+    """Whether an action can break a rule of its list on some row; most cannot, and then nothing is tested."""
+    if action["type"] == "array_scope":
+        inner = join_scope(scope, action["scope"])
+        return action["action"]["type"] == "create" or _can_break(action["action"], ddl, inner)
+    return action["type"] == "update" and ddl.rules(scope).primary_key in action["data"]
+
+
+def _scoped(c: Column, dtype: T.DataType, segments: list[str], action: dict, ddl: Ddl, scope: str) -> tuple[Column, Column | None]:
     """An action on the nested list at a path, which may cross lists."""
     if isinstance(dtype, T.ArrayType):
         if segments:
-            new = F.transform(c, lambda e: _scoped(e, dtype.elementType, segments, action, ddl, scope)[0])
-            return new, c.isNotNull() & F.exists(c, lambda e: _scoped(e, dtype.elementType, segments, action, ddl, scope)[1])
+            inner = lambda e: _scoped(e, dtype.elementType, segments, action, ddl, scope)
+            breaks = action["type"] == "create" or _can_break(action, ddl, scope)
+            return F.transform(c, lambda e: inner(e)[0]), c.isNotNull() & F.exists(c, lambda e: inner(e)[1]) if breaks else None
         return _on_list(c, dtype, action, ddl, scope)
     new, bad = _scoped(c.getField(segments[0]), dtype[segments[0]].dataType, segments[1:], action, ddl, scope)
     return F.when(c.isNull(), c).otherwise(_replaced(c, dtype, segments[0], new)), bad
 
 
-def _on_list(c: Column, dtype: T.ArrayType, action: dict, ddl: Ddl, scope: str) -> tuple[Column, Column]:
+def _on_list(c: Column, dtype: T.ArrayType, action: dict, ddl: Ddl, scope: str) -> tuple[Column, Column | None]:
     t, rules = dtype.elementType, ddl.rules(scope)
     if action["type"] == "create":
         same = lambda e: Typed(e, t).key(rules.primary_key).equals(action["data"][rules.primary_key])
         return F.when(c.isNull(), c).otherwise(F.concat(c, literal([action["data"]], dtype))), c.isNotNull() & F.exists(c, same)
     hit = lambda e: _filter(action["where"], Typed(e, t))
     if action["type"] == "delete":
-        return F.filter(c, lambda e: ~hit(e)), false()
+        return F.filter(c, lambda e: ~hit(e)), None
     new = F.transform(c, lambda e: F.when(hit(e), _applied(e, t, action, ddl, scope)[0]).otherwise(e))
+    if not _can_break(action, ddl, scope):
+        return new, None
     return new, c.isNotNull() & F.exists(c, lambda e: hit(e) & _applied(e, t, action, ddl, scope)[1])
 
 
@@ -373,6 +400,8 @@ class _Plan:
     actions: list[WriteAction]
     schema: T.StructType
     pk: str
+    #: What is counted: matches ``m``, broken rules ``f``, failed checks ``s``, each with the action's number.
+    flags: list[str]
 
 
 def _chain(items: DataFrame, actions: list[WriteAction], ddl: Ddl, check) -> _Plan:
@@ -383,26 +412,35 @@ def _chain(items: DataFrame, actions: list[WriteAction], ddl: Ddl, check) -> _Pl
         if a.payload["type"] == "create":
             new = items.sparkSession.range(1).select(literal(a.payload["data"], schema).alias("row"), F.lit(i).alias("born"), F.lit(False).alias("gone"), F.lit(False).alias("touched"))
             frame = frame.unionByName(new)
+    flags: list[str] = []
+
+    def flagged(frame: DataFrame, name: str, value: Column | None) -> DataFrame:
+        if value is None:  # cannot happen: nothing to count
+            return frame
+        flags.append(name)
+        return frame.withColumn(name, value)
+
     for i, a in enumerate(actions):
         p, verb = a.payload, a.payload["type"]
         alive = (F.col("born") < i) & ~F.col("gone")
         value = Typed(F.col("row"), schema)
         if verb == "create":
             own = F.col("born") == i
-            taken = alive & value.key(pk).equals(p["data"][pk])
-            broken = own & ~check(F.col("row")) if check else false()
-            frame = frame.withColumn(f"m{i}", own).withColumn(f"f{i}", taken).withColumn(f"s{i}", broken)
+            frame = flagged(frame, f"m{i}", own)
+            frame = flagged(frame, f"f{i}", alive & value.key(pk).equals(p["data"][pk]))
+            frame = flagged(frame, f"s{i}", own & ~check(F.col("row")) if check else None)
             continue
-        frame = frame.withColumn(f"m{i}", alive & _filter(p["where"], value))
+        frame = flagged(frame, f"m{i}", alive & _filter(p["where"], value))
         m = F.col(f"m{i}")
         if verb == "delete":
-            frame = frame.withColumn(f"f{i}", F.lit(False)).withColumn(f"s{i}", F.lit(False)).withColumn("gone", F.col("gone") | m)
+            frame = frame.withColumn("gone", F.col("gone") | m)
             continue
         new, bad, changed = _applied(F.col("row"), schema, p, ddl, "")
-        frame = frame.withColumn("next", F.when(m, new).otherwise(F.col("row"))).withColumn(f"f{i}", m & bad).withColumn("changes", m & changed)
-        broken = m & ~check(F.col("next")) if check else F.lit(False)
-        frame = frame.withColumn(f"s{i}", broken).withColumn("touched", F.col("touched") | F.col("changes")).withColumn("row", F.col("next")).drop("next", "changes")
-    return _Plan(frame, actions, schema, pk)
+        frame = frame.withColumn("next", F.when(m, new).otherwise(F.col("row"))).withColumn("changes", m & changed)
+        frame = flagged(frame, f"f{i}", None if bad is None else m & bad)
+        frame = flagged(frame, f"s{i}", m & ~check(F.col("next")) if check else None)
+        frame = frame.withColumn("touched", F.col("touched") | F.col("changes")).withColumn("row", F.col("next")).drop("next", "changes")
+    return _Plan(frame, actions, schema, pk, flags)
 
 
 def write(actions: list[WriteAction], items: DataFrame, ddl: Ddl, options: Options = Options(), check=None) -> WriteResult:
@@ -417,7 +455,8 @@ def write(actions: list[WriteAction], items: DataFrame, ddl: Ddl, options: Optio
     for a in actions:
         if a.uuid in unique and unique[a.uuid].payload != a.payload:
             error = {"type": "uuid_conflict", "uuid": a.uuid}
-            return _result(items, pk, None, [], [Outcome(a, False, error)] + [Outcome(b, False, {"type": "blocked", "blocked_by_action_uuid": a.uuid}) for b in unique.values() if b.uuid != a.uuid])
+            others = {b.uuid: b for b in reversed(actions) if b.uuid != a.uuid}
+            return _result(items, pk, None, [], [Outcome(a, False, error)] + [Outcome(b, False, {"type": "blocked", "blocked_by_action_uuid": a.uuid}) for b in reversed(others.values())])
         unique.setdefault(a.uuid, a)
     batch = list(unique.values())
     if not batch:
@@ -428,8 +467,8 @@ def write(actions: list[WriteAction], items: DataFrame, ddl: Ddl, options: Optio
         plan = _chain(items, ready, ddl, check)
         key = Typed(F.col("row"), schema).key(pk)
         blank = any_of([key.null_like(), key.equals(""), key.equals(0)])
-        counts = [F.coalesce(F.count_if(F.col(f"{c}{i}")), F.lit(0)).alias(f"{c}{i}") for i in range(len(ready)) for c in "mfs"]
-        seen = plan.frame.agg(F.count_if((F.col("born") < 0) & blank).alias("blank"), *counts).first()
+        counts = [F.coalesce(F.count_if(F.col(c)), F.lit(0)).alias(c) for c in plan.flags]
+        seen = defaultdict(int, plan.frame.agg(F.count_if((F.col("born") < 0) & blank).alias("blank"), *counts).first().asDict())
         if seen["blank"]:
             return _failed(items, pk, None, batch, 0, {"type": "missing_key", "primary_key": pk}, {}, options)
         taken = [i for i, a in enumerate(ready) if a.payload["type"] == "create" and seen[f"f{i}"]]
@@ -532,6 +571,33 @@ def _subset(a: Any, b: Any) -> bool:
     return deep_equal(a, b)
 
 
+# Documents.
+
+_REST = "__members_without_a_type"
+
+
+def write_documents(actions: list[WriteAction], df: DataFrame, doc: str, schema: T.StructType, ddl: Ddl, options: Options = Options(), check=None) -> WriteResult:
+    """Apply a batch to the documents in the Variant column ``doc``; the changes hold that column alone.
+
+    ``schema`` declares their members; they are written through it, so the plan is the one of ``write``. Members of the
+    document that it does not name stay as they are (inside lists and nested members they are not kept); a member that
+    does not fit its type counts as missing, and a missing member stays missing.
+    """
+    members = F.try_variant_get(F.col(f"`{doc}`"), "$", "map<string,variant>")
+    rest = F.to_json(F.map_filter(members, lambda k, v: ~k.isin(*schema.names)))
+    typed = df.select(*[F.try_variant_get(F.try_element_at(members, F.lit(f.name)), "$", f.dataType.simpleString()).cast(f.dataType).alias(f.name) for f in schema.fields], rest.alias(_REST))
+    result = write(actions, typed, ddl, options, check)
+
+    def back(rows: DataFrame) -> DataFrame:
+        own = F.try_variant_get(F.parse_json(F.to_json(F.struct(*[F.col(f"`{n}`") for n in schema.names]))), "$", "map<string,variant>")
+        more = F.try_variant_get(F.parse_json(F.coalesce(F.col(_REST), F.lit("{}"))), "$", "map<string,variant>")
+        return rows.select(F.to_variant_object(F.map_concat(own, more)).alias(doc))
+
+    c = result.changes
+    result.changes = Changes(back(c.insert), back(c.update), c.remove_keys, back(c.final_items), c.changed)
+    return result
+
+
 # What a batch touches, seen from outside.
 
 
@@ -601,3 +667,31 @@ def from_wire(x: dict) -> WriteAction:
     if x.get("type") != "write" or not isinstance(x.get("uuid"), str) or not isinstance(x.get("payload"), dict) or x["payload"].get("type") not in VERBS:
         raise ValueError("no write action")
     return WriteAction(x["payload"], x["uuid"], x.get("ts", 0))
+
+
+#: Types of errors that an outcome can carry.
+ERRORS = frozenset("custom schema missing_key update_altered_key create_duplicated_key invalid_filter invalid_scope invalid_property_path invalid_data_value uuid_conflict blocked".split())
+
+
+def outcome_to_wire(o: Outcome) -> dict:
+    out = {"action": to_wire(o.action), "ok": o.ok, "affected": o.affected}
+    return out if o.ok else out | {"error": o.error, "unrecoverable": o.unrecoverable}
+
+
+def outcome_from_wire(x: dict) -> Outcome:
+    error = x.get("error")
+    if not isinstance(x.get("ok"), bool) or x["ok"] != (error is None) or error is not None and (not isinstance(error, dict) or error.get("type") not in ERRORS):
+        raise ValueError("no outcome of a write action")
+    return Outcome(from_wire(x.get("action") or {}), x["ok"], error, x.get("affected", 0))
+
+
+def result_to_wire(r: WriteResult) -> dict:
+    """A result without its rows."""
+    return {"ok": r.ok, "changed": r.changes.changed, "actions": [outcome_to_wire(o) for o in r.actions], "error": r.error}
+
+
+def result_from_wire(x: dict) -> tuple[bool, bool, list[Outcome], str | None]:
+    actions = [outcome_from_wire(o) for o in x.get("actions", [])]
+    if not isinstance(x.get("ok"), bool) or x["ok"] != all(o.ok for o in actions):
+        raise ValueError("no result of a write")
+    return x["ok"], bool(x.get("changed")), actions, x.get("error")

@@ -342,3 +342,6 @@ def map_rename(s: SparkSession, d: str) -> DataFrame:
 @register("map_remove", "SELECT c_custkey, c_name FROM customer")
 def map_remove(s: SparkSession, d: str) -> DataFrame:
     return map_deep(table(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal"), [RemoveKey(Target(search_key=re.compile("mkt|bal")), all=True)])
+
+
+from docloom.plans import catalogue_rules  # noqa: E402, F401 - it adds its queries to the same tables

@@ -10,15 +10,12 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import types as T
 
-from docloom.functions.paths import parse_path
+from docloom.functions.paths import parse_path, resolve
 from docloom.functions.schema import normalizing_paths, shape_ambiguous_paths
 from docloom.plans.evaluate import matches_missing
 from docloom.plans.predicate import LOGIC, FilterError, Pred, check_filter, element_scalar, negated, parse_condition, split_negations, translate_regex
 from docloom.plans.values import Missing, Root, Typed, Value, Variant, false, true
 
-#: Arrays directly inside arrays that a path crosses at one place of a Variant.
-NESTED_ARRAYS = 2
-
 
 def balanced(parts: Sequence[Column], join: Callable[[Column, Column], Column], empty: Column) -> Column:
     """Join many columns as a tree of logarithmic depth."""
@@ -46,7 +43,7 @@ def compile_filter(f: dict, schema: T.StructType, doc: str | None = None, nulls_
 
 @dataclass(frozen=True)
 class CompileError:
-    """Why a filter was not compiled: ``kind`` is filter, schema_ambiguous or schema_normalizes."""
+    """Why a filter was not compiled: ``kind`` is filter, schema_ambiguous, schema_normalizes or path_conversion."""
 
     kind: str
     message: str
@@ -55,7 +52,7 @@ class CompileError:
 
 def try_compile(f: dict, schema: T.StructType, doc: str | None = None, nulls_are: str = "missing", conform: bool = False) -> tuple[Column | None, list[CompileError]]:
     """The column, or all reasons against it. With ``conform``, filters on paths whose declared shape is ambiguous or
-    normalised are refused, as engines that only know the schema refuse them."""
+    normalised, or that lead to a list under a map, are refused, as engines that only know the schema refuse them."""
     try:
         check_filter(f)
     except FilterError as e:
@@ -64,6 +61,7 @@ def try_compile(f: dict, schema: T.StructType, doc: str | None = None, nulls_are
         used = set(paths_of(f))
         bad = [CompileError("schema_ambiguous", "array and other shapes", p) for p in shape_ambiguous_paths(schema) if p in used]
         bad += [CompileError("schema_normalizes", "values change on the way in", p) for p in normalizing_paths(schema) if p in used]
+        bad += [CompileError("path_conversion", "a list under free keys", p) for p in used if (at := resolve(p, schema)).record and (at.arrays or isinstance(at.dtype, T.ArrayType))]
         if bad:
             return None, bad
     return compile_filter(f, schema, doc, nulls_are), []
@@ -117,7 +115,7 @@ def _holds_variant(segments: list[str], v: Value) -> bool:
     return isinstance(v, Variant) and len(segments) > 1 or isinstance(v, Root) and v.doc is not None and isinstance(v.key(segments[0]), Variant) and len(segments) > 1
 
 
-def _leaf(segments: list[str], v: Value, test: Callable[[Value], Column], nested: int = 0) -> Column:
+def _leaf(segments: list[str], v: Value, test: Callable[[Value], Column]) -> Column:
     """Whether some value that the path reaches through arrays passes."""
     if not segments:
         return v.present() & test(v)
@@ -127,10 +125,9 @@ def _leaf(segments: list[str], v: Value, test: Callable[[Value], Column], nested
         if v.may_be_array():
             return v.any_element(lambda e: _leaf(segments, _present(e), test))
         return _leaf(segments[1:], v.key(segments[0]), test)
-    through = _leaf(segments[1:], v.key(segments[0]), test)
-    if isinstance(v, Variant) and nested < NESTED_ARRAYS:
-        return through | v.any_element(lambda e: _leaf(segments, e, test, nested + 1))
-    return through
+    if isinstance(v, Variant):
+        return v.any_innermost(lambda e: _leaf(segments[1:], e.key(segments[0]), test))
+    return _leaf(segments[1:], v.key(segments[0]), test)
 
 
 def _present(e: Value) -> Value:

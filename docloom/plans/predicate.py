@@ -171,9 +171,15 @@ def is_filter_list(x: Any) -> bool:
 
 
 def check_strict(f: Any) -> None:
-    """A filter of paths only, all the way down."""
+    """A filter of paths only, all the way down: no logic in the filters on elements and sub-documents either."""
     check_filter(f)
-    if is_logic_filter(f):
+
+    def logic(x: Any) -> bool:
+        if isinstance(x, dict):
+            return is_logic_filter(x) or any(logic(v) for v in x.values())
+        return False
+
+    if logic(f):
         raise FilterError("logic operators are not allowed here")
 
 

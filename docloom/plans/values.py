@@ -7,6 +7,7 @@ exact. The guard is ``IS NOT NULL AND …``, which Spark still pushes into a Par
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 from typing import Any
 
@@ -56,7 +57,7 @@ class Value:
         raise NotImplementedError
 
     def equals(self, x: Any) -> Column:
-        """A scalar equal to ``x``, without coercion; false for arrays and objects."""
+        """A scalar equal to ``x``, without coercion; false for arrays and structs."""
         raise NotImplementedError
 
     def compare(self, op: str, x: Any) -> Column:
@@ -122,6 +123,18 @@ class Missing(Value):
         return False
 
 
+_LITERAL = re.compile(r"(\^?)([^\\^$.|?*+()\[\]{}]+)")
+
+
+def searched(text: Column, pattern: str) -> Column:
+    """Whether the pattern is found. One that is plain text becomes a prefix or substring test, which the Parquet reader
+    can use too."""
+    plain = _LITERAL.fullmatch(pattern)
+    if plain:
+        return text.startswith(plain[2]) if plain[1] else text.contains(plain[2])
+    return text.rlike(pattern)
+
+
 class Typed(Value):
     """A column of a known type. SQL null is a missing value, or JSON null with ``nulls_are="null"``."""
 
@@ -180,7 +193,7 @@ class Typed(Value):
         return out
 
     def search(self, pattern):
-        return self._guard(self.c.rlike(pattern)) if self.kind == "string" else false()
+        return self._guard(searched(self.c, pattern)) if self.kind == "string" else false()
 
     def any_element(self, test):
         if not isinstance(self.t, T.ArrayType):
@@ -284,7 +297,7 @@ class Variant(Value):
 
     def search(self, pattern):
         value = F.try_variant_get(self.c, "$", "string")
-        return self.is_type("string") & value.isNotNull() & value.rlike(pattern)
+        return self.is_type("string") & value.isNotNull() & searched(value, pattern)
 
     def _elements(self) -> Column:
         return F.try_variant_get(self.c, "$", "array<variant>")
@@ -293,6 +306,16 @@ class Variant(Value):
         elements = self._elements()
         return self.is_type("array") & elements.isNotNull() & F.exists(elements, lambda e: test(Variant(e)))
 
+    def any_innermost(self, test):
+        """Whether the value passes, or some element that is no array of the arrays in arrays that it is."""
+        is_array = lambda e: Variant(e).is_type("array")
+        spread = lambda e: F.when(is_array(e), F.coalesce(Variant(e)._elements(), F.array().cast("array<variant>"))).otherwise(F.array(e))
+        # One step for every array in the text is enough; without an array left, the steps do nothing.
+        steps = F.sequence(F.lit(1), F.regexp_count(F.to_json(self.c), F.lit(r"\[")))
+        flat = lambda acc, _: F.when(F.exists(acc, is_array), F.flatten(F.transform(acc, spread))).otherwise(acc)
+        inner = F.aggregate(steps, F.array(self.c), flat)
+        return test(self) | (self.is_type("array") & F.exists(inner, lambda e: test(Variant(e))))
+
     def size_is(self, n):
         elements = self._elements()
         return self.is_type("array") & elements.isNotNull() & (F.size(elements) == int(n))

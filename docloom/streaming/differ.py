@@ -14,9 +14,12 @@ class SnapshotDiffer:
     """Call it with one snapshot after the other; each call gives the change set since the one before.
 
     Snapshots are kept as Parquet tables under ``state_path``, one folder per version, so the state outlives the
-    driver and its lineage does not grow.
+    driver and its lineage does not grow. The last ``KEEP`` versions stay, for a batch that runs again; older ones are
+    deleted.
     """
 
+    KEEP = 3
+
     def __init__(self, spark: SparkSession, pk: str, state_path: str) -> None:
         self.spark, self.pk, self.path = spark, pk, state_path
         self.version = self._latest()
@@ -34,6 +37,12 @@ class SnapshotDiffer:
         done = [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
         return max(done, default=-1)
 
+    def _forget(self, last: int) -> None:
+        fs, path, jvm = self._fs()
+        for name in [s.getPath().getName() for s in fs.listStatus(path)]:
+            if name.startswith("v") and name[1:].isdigit() and int(name[1:]) <= last:
+                fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
+
     def snapshot(self, version: int | None = None) -> DataFrame | None:
         v = self.version if version is None else version
         return self.spark.read.parquet(f"{self.path}/v{v}") if v >= 0 else None
@@ -44,6 +53,7 @@ class SnapshotDiffer:
         current.write.mode("overwrite").parquet(f"{self.path}/v{v}")
         before = max([x for x in (self.version, v - 1) if x < v], default=-1)
         self.version = v
+        self._forget(v - self.KEEP)
         return diff(self.snapshot(v), self.snapshot(before), self.pk, created_at)
 
 
