@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ship
+from docloom.llm.common import free_name, ship
 
 WORD_END = "</w>"
 #: White space of the pattern's ``\s``, as the tokenizer's regular expressions read it.
@@ -267,7 +267,8 @@ def bpe_digest(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
     """The input with ``n_tokens, ids_sha256, decoded_sha256``, and the ids themselves if ``ids_col`` is named.
 
     Whole texts are encoded and decoded again; the ids' digest is that of little-endian unsigned 32-bit integers.
-    Null text counts as empty. Columns of these names are replaced.
+    Null text counts as empty. Columns of these names are replaced. Every row is encoded by itself, repeated rows alike; an
+    empty table gives an empty result.
     """
     spec = _shared_spec(docs, path)
     fields = "n_tokens:bigint,ids_sha256:string,decoded_sha256:string" + (",ids:array<int>" if ids_col else "")
@@ -287,6 +288,6 @@ def bpe_digest(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
 
     names = {"n_tokens": "n_tokens", "ids_sha256": "ids_sha256", "decoded_sha256": "decoded_sha256"} | ({ids_col: "ids"} if ids_col else {})
     kept = [c for c in docs.columns if c not in names]
-    return docs.select(*[F.col(f"`{c}`") for c in kept], digest(F.col(text_col)).alias("__digest")).select(
-        *[F.col(f"`{c}`") for c in kept], *[F.col(f"__digest.{field}").alias(name) for name, field in names.items()]
-    )
+    name = free_name(docs, "digest")
+    both = docs.select(*[F.col(f"`{c}`") for c in kept], digest(F.col(text_col)).alias(name))
+    return both.select(*[F.col(f"`{c}`") for c in kept], *[F.col(name).getField(f).alias(n) for n, f in names.items()])

@@ -37,13 +37,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a temporary one in local mode (tests), and an
+    error on a cluster, whose executors would not share it."""
     sc = spark.sparkContext
     with _LOCK:
         known = sc._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
-        named = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docloom-checkpoint-")
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        named = named or tempfile.mkdtemp(prefix="docloom-checkpoint-")
         sc.setCheckpointDir(named)
         return named
 
@@ -87,6 +91,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by as many _ as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def doc_key(doc_id: str = "doc_id") -> Column:
     """A null document id counts as the smallest one."""
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(MIN_LONG))

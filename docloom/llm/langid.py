@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ship
+from docloom.llm.common import free_name, ship
 
 #: The Unicode ranges of the scripts told apart (first, last code point, name).
 SCRIPTS = (
@@ -326,6 +326,6 @@ def language_id(
 
     new = {pred_col: "lang", score_col: "score", support_col: "support", spans_col: "spans"}
     kept = [c for c in docs.columns if c not in new]
-    row, out = F.struct(*[F.col(f"`{c}`") for c in kept]), predict(F.col(text_col))
-    both = docs.select(row.alias("row"), out.alias("out"))
-    return both.select(*[F.col("row").getField(c).alias(c) for c in kept], *[F.col("out").getField(f).alias(c) for c, f in new.items()])
+    name = free_name(docs, "predicted")
+    both = docs.select(*[F.col(f"`{c}`") for c in kept], predict(F.col(text_col)).alias(name))
+    return both.select(*[F.col(f"`{c}`") for c in kept], *[F.col(name).getField(f).alias(c) for c, f in new.items()])

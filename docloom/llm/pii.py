@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ship
+from docloom.llm.common import free_name, ship
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kind that only the CRF finds: key material (tokens, passwords, API keys).
@@ -379,5 +379,6 @@ def find_pii(docs: DataFrame, text_col: str = "text", model: SkipChain | None =
 
     names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
     kept = [c for c in docs.columns if c not in names]
-    both = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), find(F.col(text_col)).alias("out"))
-    return both.select(*[F.col("row").getField(c).alias(c) for c in kept], *[F.col("out").getField(n).alias(n) for n in names])
+    name = free_name(docs, "found")
+    both = docs.select(*[F.col(f"`{c}`") for c in kept], find(F.col(text_col)).alias(name))
+    return both.select(*[F.col(f"`{c}`") for c in kept], *[F.col(name).getField(n).alias(n) for n in names])
