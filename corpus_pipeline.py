@@ -63,7 +63,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("line_dedup", lines), ("near_dedup", near_duplicates), ("decontaminate", leaks), ("bpe", tokens)]
 
-#: Language ID, MinHash and BPE cannot be said in SQL; tests/llm compares each stage with a brute-force version.
+#: Language ID, MinHash and BPE cannot be said in SQL; tests/llm compares the rows of run() with those of the stages in plain Python.
 ORACLE_SQL = None
 
 
