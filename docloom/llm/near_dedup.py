@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import MIN_LONG, checkpoint, doc_key, ship
+from docloom.llm.common import MIN_LONG, checkpoint, doc_key, ship, shuffle_partitions
 from docloom.llm.graph import components
 
 #: Words of a shingle (the k-mers here), and the least similarity of a link.
@@ -33,6 +33,8 @@ SIZES = ((16, 2), (48, 4), (1 << 62, 8))
 LARGE_CLASS = 256
 #: Texts of candidates up to this many characters in all are sent to every executor; more are joined to the pairs.
 MAX_BROADCAST = 16 << 20
+#: Shingles that a task remembers of texts it has aligned (8 bytes each).
+HELD = 2 << 20
 _WORD = re.compile(r"\w+")
 _RNG = np.random.default_rng(20240229)
 _C = _RNG.integers(1 << 60, 1 << 63, size=WORDS + 16, dtype=np.uint64) | np.uint64(1)
@@ -206,19 +208,28 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``u, v`` whose alignment reaches the similarity."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[int, np.ndarray] = {}
+        held = 0
         for batch in batches:
-            known: dict[int, np.ndarray] = {}
             keep = []
             for u, v, a, b in zip(batch["u"], batch["v"], batch["text_u"], batch["text_v"], strict=True):
-                x = known.get(v)
-                if x is None:
-                    if len(known) > 64:
-                        known.clear()
-                    x = known[v] = shingles(words_of(b))
-                keep.append(similarity(shingles(words_of(a)), x) >= SIMILARITY - 1e-9)
+                sides = []
+                for i, text in ((u, a), (v, b)):
+                    x = known.get(i)
+                    if x is None:
+                        x = shingles(words_of(text))
+                        if held > HELD:
+                            known.clear()
+                            held = 0
+                        known[i] = x
+                        held += len(x)
+                    sides.append(x)
+                keep.append(similarity(*sides) >= SIMILARITY - 1e-9)
             yield batch.loc[keep, ["u", "v"]]
 
     small = (texts.agg(F.sum(F.length("text"))).first()[0] or 0) <= MAX_BROADCAST
+    if small:  # a pair is a few bytes and an alignment is not: no task gets many for being small
+        pairs = pairs.repartition(shuffle_partitions(pairs.sparkSession), "u", "v").sortWithinPartitions("v", "u")
     side = F.broadcast(texts) if small else texts
     joined = pairs.join(side.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u").join(side.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
     return joined.select("u", "v", "text_u", "text_v").mapInPandas(run, "u bigint, v bigint").distinct()
@@ -309,8 +320,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = checkpoint(classed.join(of_key, "key").select("key", "id", "sign", "meets", "component", (F.col("id") == F.col("hub")).alias("done")))
     bounds = _shared_counts(texts.join(placed.select("id").distinct(), "id", "left_semi"))
     own = placed.groupBy("id").agg(F.collect_set("key").alias("keys"))  # at most three sizes of sketch
+    # A text that shares less than the similarity of its own shingles with all others in play is similar to none of them.
+    bounds = checkpoint(bounds.where(F.col("shared") >= SIMILARITY * F.col("n") - 1e-6))
     both = to_hub.unionByName(to_hub.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    more = _waves(checkpoint(placed.join(checkpoint(bounds), "id").join(own, "id")), both, texts)
+    more = _waves(checkpoint(placed.join(bounds, "id").join(own, "id")), both, texts)
     final = checkpoint(components(links if more is None else links.unionByName(more)))
     out = members.join(final.select(F.col("id").alias("node"), "component"), "node", "left")
     return out.groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("class_id"))
