@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import MIN_LONG, checkpoint, doc_key, ship, shuffle_partitions
+from docloom.llm.common import MIN_LONG, checkpoint, doc_key, ship
 from docloom.llm.graph import components
 
 #: Words of a shingle (the k-mers here), and the least similarity of a link.
@@ -25,7 +25,7 @@ SKETCHES = 64
 #: Pairs with fewer than 35 (2 in a million of similarity 0.8) are not aligned.
 AGREE = 35
 #: Hubs of a bucket in the first wave after the first hub; every further wave has twice as many.
-HUBS = 64
+HUBS = 1024
 #: (below so many shingles, minima per sketch): short texts have few shingles to draw from.
 SIZES = ((16, 2), (48, 4), (1 << 62, 8))
 #: Classes of more documents than this, and than one in 2 ** 20 of all, have their sizes sent to every executor: at most
@@ -35,6 +35,8 @@ LARGE_CLASS = 256
 MAX_BROADCAST = 16 << 20
 #: Shingles that a task remembers of texts it has aligned (8 bytes each).
 HELD = 2 << 20
+#: Pairs that a task aligns, about, where they are dealt apart from their texts.
+PAIRS = 2000
 _WORD = re.compile(r"\w+")
 _RNG = np.random.default_rng(20240229)
 _C = _RNG.integers(1 << 60, 1 << 63, size=WORDS + 16, dtype=np.uint64) | np.uint64(1)
@@ -229,7 +231,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     small = (texts.agg(F.sum(F.length("text"))).first()[0] or 0) <= MAX_BROADCAST
     if small:  # a pair is a few bytes and an alignment is not: no task gets many for being small
-        pairs = pairs.repartition(shuffle_partitions(pairs.sparkSession), "u", "v").sortWithinPartitions("v", "u")
+        pairs = pairs.repartition(1 + pairs.count() // PAIRS).sortWithinPartitions("v", "u")
     side = F.broadcast(texts) if small else texts
     joined = pairs.join(side.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u").join(side.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
     return joined.select("u", "v", "text_u", "text_v").mapInPandas(run, "u bigint, v bigint").distinct()
