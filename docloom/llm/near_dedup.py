@@ -35,6 +35,8 @@ LARGE_CLASS = 256
 MAX_BROADCAST = 16 << 20
 #: Shingles that a task remembers of texts it has aligned (8 bytes each).
 HELD = 2 << 20
+#: Members of buckets that a task of a wave writes, about: their rows are small, and the driver keeps a record of each task.
+MEMBERS = 20_000
 #: Pairs that a task aligns, about, where they are dealt apart from their texts.
 PAIRS = 2000
 _WORD = re.compile(r"\w+")
@@ -207,7 +209,7 @@ def _shared_counts(texts: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``u, v`` whose alignment reaches the similarity."""
+    """The pairs ``u, v`` whose alignment reaches the similarity; each once, if ``pairs`` has it once and ``texts`` an id once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[int, np.ndarray] = {}
@@ -234,7 +236,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         pairs = pairs.repartition(1 + pairs.count() // PAIRS).sortWithinPartitions("v", "u")
     side = F.broadcast(texts) if small else texts
     joined = pairs.join(side.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u").join(side.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
-    return joined.select("u", "v", "text_u", "text_v").mapInPandas(run, "u bigint, v bigint").distinct()
+    return joined.select("u", "v", "text_u", "text_v").mapInPandas(run, "u bigint, v bigint")
 
 
 def _least(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -253,18 +255,19 @@ def _waves(state: DataFrame, tested: DataFrame, texts: DataFrame) -> DataFrame |
     classes stays untested. A wave's pairs are linear in the members, and the hubs double, so waves are few.
     """
     more: list[DataFrame] = []
-    wave = 0
+    wave, tasks = 0, 1 + state.count() // MEMBERS
+    packed = lambda df: checkpoint(df.coalesce(tasks))
     while True:
         classes = state.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
         main = classes.groupBy("key").agg(F.max(F.struct("members", F.bitwise_not("component").alias("r"))).alias("main"), F.count(F.lit(1)).alias("classes"))
         main = main.where("classes > 1").select("key", F.bitwise_not("main.r").alias("main"))
-        current = checkpoint(state.join(main, "key").withColumn("outside", F.col("component") != F.col("main")).drop("main"))
+        current = packed(state.join(main, "key").withColumn("outside", F.col("component") != F.col("main")).drop("main"))
         slot = F.pmod(F.xxhash64("id", F.lit(wave)), F.lit(HUBS << wave))
         hubs = current.where("outside AND NOT done").groupBy("key", slot.alias("slot")).agg(F.max(F.struct("meets", F.bitwise_not("id").alias("r"))).alias("hub"))
-        hubs = checkpoint(hubs.select("key", F.bitwise_not("hub.r").alias("id"), F.lit(True).alias("now")))
+        hubs = packed(hubs.select("key", F.bitwise_not("hub.r").alias("id"), F.lit(True).alias("now")))
         if hubs.isEmpty():
             break
-        marked = checkpoint(current.join(hubs, ["key", "id"], "left").withColumn("now", F.coalesce("now", F.lit(False))))
+        marked = packed(current.join(hubs, ["key", "id"], "left").withColumn("now", F.coalesce("now", F.lit(False))))
         column = lambda c, side: F.col(c).alias(f"{c}_{side}")
         of = lambda df, side: df.select("key", F.col("id").alias(side), *[column(c, side) for c in ("sign", "n", "shared", "keys", "component", "now")])
         left, right = of(marked.where("now"), "u"), of(marked.where("NOT done"), "v")
@@ -282,7 +285,7 @@ def _waves(state: DataFrame, tested: DataFrame, texts: DataFrame) -> DataFrame |
             ends = links.join(of_id.select(F.col("id").alias("u"), F.col("component").alias("a")), "u").join(of_id.select(F.col("id").alias("v"), F.col("component").alias("b")), "v")
             merged = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("id").alias("component"), F.col("component").alias("into"))
             state = state.join(merged, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into")
-        state = checkpoint(state)
+        state = packed(state)
         wave += 1
     return reduce(DataFrame.unionByName, more) if more else None
 
@@ -326,7 +329,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bounds = checkpoint(bounds.where(F.col("shared") >= SIMILARITY * F.col("n") - 1e-6))
     both = to_hub.unionByName(to_hub.select(F.col("v").alias("u"), F.col("u").alias("v")))
     more = _waves(checkpoint(placed.join(bounds, "id").join(own, "id")), both, texts)
-    final = checkpoint(components(links if more is None else links.unionByName(more)))
+    final = components(links if more is None else links.unionByName(more))
     out = members.join(final.select(F.col("id").alias("node"), "component"), "node", "left")
     return out.groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("class_id"))
 
